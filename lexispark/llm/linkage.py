@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import components, cut, written
 
 #: A block's data; an item counts for ITEM_BYTES at least, so that a block has 4096 items at most.
-BLOCK_BYTES, ITEM_BYTES = 32 << 20, 8 << 10
+BLOCK_BYTES, ITEM_BYTES, BLOCK_ITEMS = 32 << 20, 8 << 10, 4096
 #: Rows of a side that may be broadcast; beyond it, joins shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -53,6 +54,60 @@ def candidate_groups(keyed: DataFrame) -> DataFrame:
     return components(stars)
 
 
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Nodes, SimHashes (two words) and first rows of the runs of equal leading columns, run by run never cut."""
+    held = None
+    for batch in batches:
+        own = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
+        held = own if held is None else np.concatenate([held, own])
+        new = np.flatnonzero((held[1:, :keys] != held[:-1, :keys]).any(axis=1)) + 1
+        if len(new):
+            done = held[: new[-1]]
+            yield done[:, keys], done[:, keys + 1 :].view(np.uint64), np.concatenate([[0], new[:-1]])
+            held = held[new[-1] :]
+    if held is not None and len(held):
+        yield held[:, keys], held[:, keys + 1 :].view(np.uint64), np.array([0])
+
+
+def _close(keys: int, distance: int):
+    """Pairs of a run within ``distance`` bits that connect all that such pairs connect."""
+
+    def run(batches):
+        for nodes, sims, starts in _runs(batches, keys):
+            sizes = np.diff(np.append(starts, len(nodes)))
+            two = starts[sizes == 2]
+            near = two[np.bitwise_count(sims[two] ^ sims[two + 1]).sum(axis=1) <= distance]
+            a, b = [nodes[near]], [nodes[near + 1]]
+            for start, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+                own, union = sims[start : start + size], Union(size)
+                for first in range(0, size, 256):
+                    apart = np.bitwise_count(own[first : first + 256, None] ^ own[None, first:]).sum(axis=2)
+                    for i, j in zip(*(x.tolist() for x in np.nonzero(apart <= distance)), strict=True):
+                        if i < j and union.find(first + i) != union.find(first + j):
+                            union.join(first + i, first + j)
+                            a.append(nodes[[start + first + i]])
+                            b.append(nodes[[start + first + j]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    return run
+
+
+def close_groups(keyed: DataFrame, distance: int) -> DataFrame:
+    """``keyed``: rows ``node long, a long, b long, keys array<long>``, with the bits of a SimHash in ``a`` and ``b``.
+    Rows ``node, component`` of the items connected by pairs that share a key and differ in ``distance`` bits at most.
+
+    Keys of one item end at a window count. Keys of more than ``BLOCK_ITEMS`` items are compared block pair by block
+    pair, the others where the window has sorted them."""
+    pairs = keyed.select(F.explode("keys").alias("key"), "node", "a", "b")
+    shared = pairs.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
+    shared = written(shared.withColumn("blocks", F.ceil(F.col("n") / BLOCK_ITEMS).cast("int")).drop("n"), "keys")
+    small = shared.where("blocks = 1").select("key", "node", "a", "b").repartition("key").sortWithinPartitions("key", "node")
+    large = shared.where("blocks > 1").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    large = large.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "a", "b").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "node")
+    edges = small.mapInArrow(_close(1, distance), "a long, b long").union(large.mapInArrow(_close(3, distance), "a long, b long"))
+    return components(edges)
+
+
 def verified_groups(data: DataFrame, link: Callable[[list[bytes]], Iterator[tuple[int, int]]]) -> DataFrame:
     """``data``: rows ``node long, component long, data binary``, one per item. ``link`` yields index pairs that are
     linked and suffice to connect what is connected. Returns ``node, component`` of all linked items."""
