@@ -22,8 +22,8 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 SPACES = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000") | {chr(c) for c in range(0x2000, 0x200B)}
 
-#: Entries of each worker's caches; a full cache is cleared, results do not depend on it.
-CACHE = 250_000
+#: Entries of a generation of each worker's caches, of which there are two; results do not depend on it.
+CACHE = 700_000
 _coders: dict[int, "PrefixCoder"] = {}
 
 
@@ -34,21 +34,44 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
+def letters_only(text: str) -> bool:
+    """Whether a text is Latin letters throughout, on which all versions of Unicode agree."""
+    return text.isalpha() and (text.isascii() or max(text) < "\u0250")
+
+
 class PieceCache(dict):
-    """Chunk (what stands between single spaces) -> little-endian ids, or None where a chunk borders on white space."""
+    """Chunk (what stands between single spaces) -> little-endian ids, or None where a chunk borders on white space.
+
+    ``prefix`` is what the pre-tokenizer puts before a chunk: a space, or nothing for ``heads`` of texts and lines. Single
+    line ends between non-spaces, and a sign after letters, are pre-tokens of their own, so chunks are put together from
+    the parts between them, which repeat more often."""
 
-    def __init__(self, encode):
+    def __init__(self, encode, prefix: str, heads: "PieceCache | None" = None):
         super().__init__()
-        self.encode = encode
+        self.encode, self.prefix, self.older = encode, prefix, {}
+        self.heads = self if heads is None else heads
+        self.signs = {c: encode(c) for c in ".,;:!?\n"}
 
     def __missing__(self, chunk: str):
-        found = self.encode(" " + chunk) if chunk and chunk[0] not in SPACES and chunk[-1] not in SPACES else None
-        if len(chunk) <= 48:
-            if len(self) >= CACHE:
+        found = self.older[chunk] if chunk in self.older else self.fresh(chunk)
+        if len(chunk) <= 24:
+            if len(self) >= CACHE:  # the full generation becomes the older one; what is still in use comes back from it
+                self.older = dict(self)
                 self.clear()
             self[chunk] = found
         return found
 
+    def fresh(self, chunk: str):
+        if not chunk or chunk[0] in SPACES or chunk[-1] in SPACES:
+            return None
+        if chunk[-1] in self.signs and letters_only(chunk[:-1]):
+            return self[chunk[:-1]] + self.signs[chunk[-1]]
+        if "\n" in chunk:
+            first, *lines = chunk.split("\n")
+            if first[-1] not in SPACES and all(x and x[0] not in SPACES and x[-1] not in SPACES for x in lines):
+                return self.signs["\n"].join([self[first], *map(self.heads.__getitem__, lines)])
+        return self.encode(self.prefix + chunk)
+
 
 class ChunkedEncoder:
     """Splits texts where a single space stands between non-spaces: the pre-tokenizer always splits there, so the
@@ -59,7 +82,8 @@ class ChunkedEncoder:
 
         self.special, self.encode = special, encode
         self.cut = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
-        self.chunks = PieceCache(encode)
+        self.heads = PieceCache(encode, "")
+        self.chunks = PieceCache(encode, " ", self.heads)
 
     def __call__(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -77,10 +101,8 @@ class ChunkedEncoder:
         if not text:
             return b""
         first, *rest = text.split(" ")
-        if not first or first[-1] in SPACES:
-            return self.encode(text)
         try:
-            return b"".join([self.encode(first), *map(self.chunks.__getitem__, rest)])
+            return b"".join([self.heads[first], *map(self.chunks.__getitem__, rest)])
         except TypeError:  # a chunk borders on white space
             return self.encode(text)
 
@@ -134,7 +156,7 @@ class PrefixCoder:
         key = left << 20 | right
         if (known := self.pairs.get(key)) is None:
             known = self.merged([self.single[c] for c in self.word[left] + self.word[right]]) == [left, right]
-            if len(self.pairs) >= 4 * CACHE:
+            if len(self.pairs) >= CACHE:
                 self.pairs.clear()
             self.pairs[key] = known
         return known
@@ -171,7 +193,7 @@ class PrefixCoder:
             if (ids := pieces.get(piece)) is None:
                 ids = self.encode_piece(piece.encode().decode("latin-1").translate(self.to_letters))
                 if len(piece) <= 32:
-                    if len(pieces) >= CACHE:
+                    if len(pieces) >= CACHE // 3:
                         pieces.clear()
                     pieces[piece] = ids
             out.append(ids)

@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import ChunkedEncoder
+from .bpe import ChunkedEncoder, byte_letters, letters_only
 from .common import shared_dir, single_threaded, slices
 
 #: Multiplier and shifts of the 64-bit finaliser used for keys.
@@ -87,9 +88,18 @@ def encoder(spec: str) -> ChunkedEncoder:
         tokenizer = Tokenizer.from_str(spec)
         tokenizer.no_truncation()
         tokenizer.no_padding()
+        model, to_letters = tokenizer.model, dict(enumerate(byte_letters()))
+
+        def encode(text: str) -> bytes:
+            if letters_only(text.removeprefix(" ")):  # one pre-token: straight to the library's model
+                ids = [t.id for t in model.tokenize(text.encode().decode("latin-1").translate(to_letters))]
+            else:
+                ids = tokenizer.encode(text, add_special_tokens=False).ids
+            return array("I", ids).tobytes()
+
         specials = {t["content"]: t["id"] for t in json.loads(spec).get("added_tokens", [])}
         _encoders.clear()
-        _encoders[key] = ChunkedEncoder(specials, lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes())
+        _encoders[key] = ChunkedEncoder(specials, encode)
     return _encoders[key]
 
 
