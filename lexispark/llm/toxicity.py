@@ -14,9 +14,9 @@ from .common import map_arrow, slices
 #: n-gram sizes (bytes of lower-cased, space-padded text), hashed into 2**BITS cells.
 SIZES, BITS = (4, 5, 6), 20
 #: Expected bound on labelled rows the classifier is fitted on, chosen by a hash of the key, each class by itself.
-MAX_ROWS_PER_CLASS = 3000
+MAX_ROWS_PER_CLASS = 2000
 #: Cells kept by the fit, the most telling ones first.
-MAX_FEATURES = 8192
+MAX_FEATURES = 4096
 
 
 def cells(text: str) -> np.ndarray:
@@ -46,7 +46,7 @@ class ToxicityModel:
         return float(self.weight[hits].sum(dtype=np.float64)) + self.bias
 
 
-def fit(texts: list[str], labels: np.ndarray, rate: float, steps: int = 400, penalty: float = 2e-3) -> ToxicityModel:
+def fit(texts: list[str], labels: np.ndarray, rate: float, steps: int = 150, penalty: float = 2e-3) -> ToxicityModel:
     """``rate``: share of class 1 among all labelled rows, to which the bias is set."""
     weight, prior = np.zeros(1 << BITS, np.float32), float(np.log(max(rate, 1e-6) / max(1 - rate, 1e-6)))
     n = np.array([(labels == 0).sum(), (labels == 1).sum()])
@@ -62,7 +62,7 @@ def fit(texts: list[str], labels: np.ndarray, rate: float, steps: int = 400, pen
     telling = np.abs(ratio) / spread
     telling[seen.sum(axis=0) < 3] = 0
     used = np.sort(np.argsort(-telling, kind="stable")[:MAX_FEATURES])
-    used = used[telling[used] > 3]
+    used = used[telling[used] > 4]
     place = np.full(1 << BITS, -1, np.int32)
     place[used] = np.arange(len(used))
     rows = [p[p >= 0] for p in (place[d] for d in docs)]
@@ -76,22 +76,24 @@ def fit(texts: list[str], labels: np.ndarray, rate: float, steps: int = 400, pen
         error = (1 / (1 + np.exp(-np.clip(margin, -40, 40))) - y) * share_of
         grad = np.append(np.bincount(which, error[row] * value, minlength=len(used)) + penalty * w / max(len(used), 1) * 10, error.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        step = 0.03 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
+        step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
         w, b = w - step[:-1], b - step[-1]
     weight[used] = (w * ratio[used]).astype(np.float32)
     return ToxicityModel(weight, float(b))
 
 
-def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS_PER_CLASS) -> ToxicityModel:
-    """Fit on rows with non-null text and a 0/1 label; other labels and nulls are left out. At most about
-    ``max_rows`` rows of each class (by a hash of key and text) go to one task; counting classes reads no text."""
-    rows = labelled.where(F.col(label).isin(0, 1))
-    counts = {int(r[0]): r[1] for r in rows.groupBy(label).count().collect()}
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS_PER_CLASS) -> ToxicityModel:
+    """Fit on documents with a 0/1 label; other labels and nulls are left out, repeated labels count once. At most
+    about ``max_rows`` keys of each class, by a hash of the key, are drawn from the labels alone; only their texts are
+    fetched, by a broadcast of the drawn keys, and go to one task. Texts of other documents are not moved."""
+    known = labels.select(F.col(key).alias("__id"), F.col(label).cast("int").alias("label")).where("label in (0, 1) and __id is not null").distinct()
+    counts = {int(r[0]): r[1] for r in known.groupBy("label").count().collect()}
     total = sum(counts.values())
     scale = 1 << 40
     limits = {y: int(scale * min(1.0, max_rows / max(counts.get(y, 0), 1))) for y in (0, 1)}
-    draw = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("draw")), F.lit(scale))
-    sample = rows.where(draw <= F.when(F.col(label) == 1, F.lit(limits[1])).otherwise(F.lit(limits[0]))).select(F.col(text).cast("string").alias("text"), F.col(label).cast("int").alias("label"))
+    draw = F.pmod(F.xxhash64(F.col("__id").cast("string"), F.lit("draw")), F.lit(scale))
+    drawn = known.where(draw <= F.when(F.col("label") == 1, F.lit(limits[1])).otherwise(F.lit(limits[0])))
+    sample = docs.select(F.col(key), F.col(text).cast("string").alias("text")).join(F.broadcast(drawn), F.col(key) == F.col("__id")).select("text", "label")
     rate = counts.get(1, 0) / total if total else 0.0
 
     def learn(batches):
@@ -139,7 +141,5 @@ def held_out(key: str = "doc_id", fold: int = 0, folds: int = 5):
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The digest of op7. A document with several labels counts once for each of its distinct labels."""
-    known = labels.select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)").distinct()
-    train_rows = docs.select("doc_id", "text").where(~held_out()).join(known, F.col("doc_id") == F.col("__id"))
-    model = train(train_rows)
+    model = train(docs, labels.where(~held_out()))
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
