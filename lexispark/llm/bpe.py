@@ -23,7 +23,7 @@ SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N
 SPACES = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000") | {chr(c) for c in range(0x2000, 0x200B)}
 
 #: Entries of a generation of each worker's caches, of which there are two; results do not depend on it.
-CACHE = 700_000
+CACHE = 120_000
 _coders: dict[int, "PrefixCoder"] = {}
 
 
@@ -46,16 +46,16 @@ class PieceCache(dict):
     line ends between non-spaces, and a sign after letters, are pre-tokens of their own, so chunks are put together from
     the parts between them, which repeat more often."""
 
-    def __init__(self, encode, prefix: str, heads: "PieceCache | None" = None):
+    def __init__(self, encode, prefix: str, size: int, heads: "PieceCache | None" = None):
         super().__init__()
-        self.encode, self.prefix, self.older = encode, prefix, {}
+        self.encode, self.prefix, self.size, self.older = encode, prefix, size, {}
         self.heads = self if heads is None else heads
         self.signs = {c: encode(c) for c in ".,;:!?\n"}
 
     def __missing__(self, chunk: str):
         found = self.older[chunk] if chunk in self.older else self.fresh(chunk)
         if len(chunk) <= 24:
-            if len(self) >= CACHE:  # the full generation becomes the older one; what is still in use comes back from it
+            if len(self) >= self.size:  # the full generation becomes the older one; what is still in use comes back from it
                 self.older = dict(self)
                 self.clear()
             self[chunk] = found
@@ -77,13 +77,13 @@ class ChunkedEncoder:
     """Splits texts where a single space stands between non-spaces: the pre-tokenizer always splits there, so the
     encoding of a chunk does not depend on its neighbours. Special tokens are cut out first, as the library does."""
 
-    def __init__(self, special: dict[str, int], encode):
+    def __init__(self, special: dict[str, int], encode, size: int = CACHE):
         import regex
 
         self.special, self.encode = special, encode
         self.cut = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
-        self.heads = PieceCache(encode, "")
-        self.chunks = PieceCache(encode, " ", self.heads)
+        self.heads = PieceCache(encode, "", size)
+        self.chunks = PieceCache(encode, " ", size, self.heads)
 
     def __call__(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -156,7 +156,7 @@ class PrefixCoder:
         key = left << 20 | right
         if (known := self.pairs.get(key)) is None:
             known = self.merged([self.single[c] for c in self.word[left] + self.word[right]]) == [left, right]
-            if len(self.pairs) >= CACHE:
+            if len(self.pairs) >= 2 * CACHE:
                 self.pairs.clear()
             self.pairs[key] = known
         return known
@@ -193,7 +193,7 @@ class PrefixCoder:
             if (ids := pieces.get(piece)) is None:
                 ids = self.encode_piece(piece.encode().decode("latin-1").translate(self.to_letters))
                 if len(piece) <= 32:
-                    if len(pieces) >= CACHE // 3:
+                    if len(pieces) >= CACHE:
                         pieces.clear()
                     pieces[piece] = ids
             out.append(ids)

@@ -1,8 +1,8 @@
 """Exact linkage of similar items: pigeonhole keys -> candidate groups -> bounded blocks -> verified links -> groups.
 
-Items that link share a key. Keys only find candidates: each item gets an edge to the smallest item of each of its
-keys (a star, never all pairs), and connected components of these edges are the candidate groups. An item's data is
-shuffled once, to its group. A group of more than ``BLOCK_BYTES`` is cut into blocks, and every pair of blocks is
+Items that link share a key. Within a key, pairs whose signatures rule a link out are dropped, and only as many pairs
+are kept as connect the rest; connected components of these are the candidate groups. An item's data is shuffled once,
+to its group. A group of more than ``BLOCK_BYTES`` is cut into blocks, and every pair of blocks is
 compared in a task of its own, so no task holds an unbounded group and no pair is lost.
 """
 
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, written
+from .common import components, cut, discard, written
 
 #: A block's data; an item counts for ITEM_BYTES at least, so that a block has 4096 items at most.
 BLOCK_BYTES, ITEM_BYTES, BLOCK_ITEMS = 32 << 20, 8 << 10, 4096
@@ -46,66 +46,68 @@ class Union:
         self.up[max(x, y)] = min(x, y)
 
 
-def candidate_groups(keyed: DataFrame) -> DataFrame:
-    """``keyed``: rows ``node long, keys array<long>``. Rows ``node, component`` of items that share a key with another."""
-    pairs = keyed.select("node", F.explode("keys").alias("key"))
-    low = F.min("node").over(Window.partitionBy("key"))
-    stars = pairs.withColumn("low", low).where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
-    return components(stars)
-
-
-def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Nodes, SimHashes (two words) and first rows of the runs of equal leading columns, run by run never cut."""
-    held = None
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """Nodes and data of each run of equal leading columns."""
+    at, nodes, data = None, [], []
     for batch in batches:
-        own = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
-        held = own if held is None else np.concatenate([held, own])
-        new = np.flatnonzero((held[1:, :keys] != held[:-1, :keys]).any(axis=1)) + 1
-        if len(new):
-            done = held[: new[-1]]
-            yield done[:, keys], done[:, keys + 1 :].view(np.uint64), np.concatenate([[0], new[:-1]])
-            held = held[new[-1] :]
-    if held is not None and len(held):
-        yield held[:, keys], held[:, keys + 1 :].view(np.uint64), np.array([0])
-
-
-def _close(keys: int, distance: int):
-    """Pairs of a run within ``distance`` bits that connect all that such pairs connect."""
+        own = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(keys + 1)])
+        starts = np.flatnonzero(np.concatenate([[True], (own[1:, :keys] != own[:-1, :keys]).any(axis=1)])) if len(own) else []
+        values = batch.column(keys + 1).to_pylist()
+        for first, end in zip(starts, [*starts[1:], len(own)], strict=True):
+            if at is not None and (own[first, :keys] != at).any():
+                yield np.concatenate(nodes), data
+                nodes, data = [], []
+            at = own[first, :keys]
+            nodes.append(own[first:end, keys])
+            data += values[first:end]
+    if at is not None:
+        yield np.concatenate(nodes), data
+
+
+def _close(keys: int, near: Callable[[np.ndarray, np.ndarray], np.ndarray]):
+    """Pairs of a run that may link and connect all that such pairs connect."""
 
     def run(batches):
-        for nodes, sims, starts in _runs(batches, keys):
-            sizes = np.diff(np.append(starts, len(nodes)))
-            two = starts[sizes == 2]
-            near = two[np.bitwise_count(sims[two] ^ sims[two + 1]).sum(axis=1) <= distance]
-            a, b = [nodes[near]], [nodes[near + 1]]
-            for start, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-                own, union = sims[start : start + size], Union(size)
-                for first in range(0, size, 256):
-                    apart = np.bitwise_count(own[first : first + 256, None] ^ own[None, first:]).sum(axis=2)
-                    for i, j in zip(*(x.tolist() for x in np.nonzero(apart <= distance)), strict=True):
-                        if i < j and union.find(first + i) != union.find(first + j):
-                            union.join(first + i, first + j)
-                            a.append(nodes[[start + first + i]])
-                            b.append(nodes[[start + first + j]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+        a, b = [], []
+        for nodes, data in _runs(batches, keys):
+            own, union = np.frombuffer(b"".join(data), np.uint8).reshape(len(data), -1), Union(len(data))
+            rows = max(1, min(256, (1 << 24) // max(own.size, 1)))
+            for first in range(0, len(own), rows):
+                may = near(own[first : first + rows], own[first:])
+                for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(may, 1))), strict=True):
+                    if union.find(first + i) != union.find(first + j):
+                        union.join(first + i, first + j)
+                        a.append(int(nodes[first + i]))
+                        b.append(int(nodes[first + j]))
+            if len(a) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                a, b = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
 
-def close_groups(keyed: DataFrame, distance: int) -> DataFrame:
-    """``keyed``: rows ``node long, a long, b long, keys array<long>``, with the bits of a SimHash in ``a`` and ``b``.
-    Rows ``node, component`` of the items connected by pairs that share a key and differ in ``distance`` bits at most.
+def candidate_groups(keyed: DataFrame, signatures: DataFrame, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """``keyed``: rows ``node long, kind int, keys array<long>``; ``signatures``: ``node, kind, data binary``, of equal
+    length for equal kinds (one row each). Rows ``node, component`` of the items connected by pairs that share a key
+    and may link by ``near``, which compares two stacks of signatures and must not refuse a true link.
 
-    Keys of one item end at a window count. Keys of more than ``BLOCK_ITEMS`` items are compared block pair by block
-    pair, the others where the window has sorted them."""
-    pairs = keyed.select(F.explode("keys").alias("key"), "node", "a", "b")
+    Keys of one item end at a window count; only the others meet their signatures. Keys of more than ``BLOCK_ITEMS``
+    items are compared block pair by block pair."""
+    pairs = keyed.select(F.explode("keys").alias("key"), "node", "kind")
     shared = pairs.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
     shared = written(shared.withColumn("blocks", F.ceil(F.col("n") / BLOCK_ITEMS).cast("int")).drop("n"), "keys")
-    small = shared.where("blocks = 1").select("key", "node", "a", "b").repartition("key").sortWithinPartitions("key", "node")
+    nodes = shared.select("node", "kind").distinct()
+    signed = written(join_checked(signatures, nodes, ["node", "kind"]), "signatures")
+    keys = shared
+    shared = join_checked(keys, signed, ["node", "kind"], max_rows=BROADCAST_ROWS // 10)
+    small = shared.where("blocks = 1").select("key", "node", "data").repartition("key").sortWithinPartitions("key", "node")
     large = shared.where("blocks > 1").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    large = large.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "a", "b").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "node")
-    edges = small.mapInArrow(_close(1, distance), "a long, b long").union(large.mapInArrow(_close(3, distance), "a long, b long"))
-    return components(edges)
+    large = large.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "data").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "node")
+    edges = small.mapInArrow(_close(1, near), "a long, b long").union(large.mapInArrow(_close(3, near), "a long, b long"))
+    groups = components(edges)
+    discard(keys, signed)
+    return groups
 
 
 def verified_groups(data: DataFrame, link: Callable[[list[bytes]], Iterator[tuple[int, int]]]) -> DataFrame:
@@ -142,4 +144,6 @@ def verified_groups(data: DataFrame, link: Callable[[list[bytes]], Iterator[tupl
 
     place = ["component", "low", "high"]
     edges = placed.repartition(*place).sortWithinPartitions(*place, "node").mapInArrow(run, "a long, b long")
-    return components(cut(edges))
+    groups = components(cut(edges))
+    discard(data)
+    return groups

@@ -2,8 +2,8 @@
 
 A document is its set of distinct word shingles (64-bit hashes). Sets of size a and b with Jaccard t or more differ in
 at most (a+b)(1-t)/(1+t) shingles, so if shingles are dealt into one part more than that by hash, some part is equal
-in both: size classes and part hashes are exact candidate keys, and passages that many documents share make no key by
-themselves. Within a block of candidates, a tree over the sets holds OR-combined token bitmaps and size ranges; a dual
+in both: size classes and hashes of parts are exact candidate keys. Histograms of shingle hashes bound the overlap of
+two sets that share a key, before they form a candidate group. Within a block of candidates, a tree over the sets holds OR-combined token bitmaps and size ranges; a dual
 traversal prunes node pairs whose largest possible overlap is too small, or that are connected already.
 """
 
@@ -17,10 +17,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, written
-from .linkage import Union, candidate_groups, join_checked, verified_groups
+from .common import discard, map_arrow, written
+from .linkage import BROADCAST_ROWS, Union, candidate_groups, join_checked, verified_groups
 
 FANOUT = 8
+FAMILIES = pa.list_(pa.struct([("kind", pa.int32()), ("keys", pa.list_(pa.int64())), ("data", pa.binary())]))
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -54,23 +55,45 @@ class Keys:
             at = self.low[-1]
             self.low.append(max(at + 1, (at - 1) * den // num + 1))
         self.low = np.array(self.low)
-        self.parts = [2 * (int(x) - 1) * (den - num) // (den + num) + 1 for x in self.low[2:]]
-
-    def of(self, s: np.ndarray) -> np.ndarray:
+        self.apart = [2 * (int(x) - 1) * (den - num) // (den + num) for x in self.low[2:]]
+        # somewhat more parts than differences, so that parts of several shingles must be equal, not just empty ones
+        self.parts = [int(np.ceil((d + 1) * (1.1 if int(x) > 6 * (d + 1) else 1.3))) for d, x in zip(self.apart, self.low, strict=False)]
+        # cells of a family's histograms: about eight shingles to a cell
+        self.cells = [1 << max(3, (int(x) // 8).bit_length()) for x in self.low]
+
+    def of(self, s: np.ndarray) -> list[tuple[int, np.ndarray, bytes]]:
+        """For each family of a set's size: its number, keys, and signature (size, and shingles in each cell)."""
         own = int(np.searchsorted(self.low, len(s), side="right")) - 1
         out = []
         for family in (own - 1, own):
-            if family < 0 or (parts := self.parts[family]) == 1:
+            if family < 0 or (apart := self.apart[family]) == 0:
                 continue  # only equal sets would link
+            parts = self.parts[family]
             spread = _mix(s ^ _C[2])
             part = (spread % np.uint64(parts)).astype(np.int64)
             again = _mix(spread)
             low = np.bincount(part, (again & np.uint64(0xFFFFFFFF)).astype(float), minlength=parts).astype(np.uint64)
             high = np.bincount(part, (again >> np.uint64(32)).astype(float), minlength=parts).astype(np.uint64)
+            count = np.bincount(part, minlength=parts)
+            # differences touch `apart` parts at most: if more parts than that have k shingles, one of these is equal
+            least = next((k for k in (3, 2, 1) if (count >= k).sum() > apart), 0)
             with np.errstate(over="ignore"):
                 base = np.arange(parts, dtype=np.uint64) * _C[1] + np.uint64(family + 1) * _C[2]
-                out.append(_mix(_mix(base ^ _mix(low)) + high))
-        return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
+                keys = _mix(_mix(base ^ _mix(low)) + high)[count >= least]
+            cells = np.bincount((again >> np.uint64(40)).astype(np.int64) & (self.cells[family] - 1), minlength=self.cells[family])
+            out.append((family, keys.view(np.int64), np.concatenate([[len(s)], cells]).astype("<u4").tobytes()))
+        return out
+
+
+def may_overlap(num: int, den: int):
+    """Signatures of one family: the overlap of two sets is at most the sum of their cells' smaller counts."""
+
+    def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        a, b = (np.ascontiguousarray(x).view("<u4") for x in (a, b))
+        most = np.minimum(a[:, None, 1:], b[None, :, 1:]).sum(axis=2, dtype=np.int64)
+        return (num + den) * most >= num * (a[:, :1].astype(np.int64) + b[:, 0].astype(np.int64))
+
+    return near
 
 
 class SignatureTree:
@@ -162,21 +185,27 @@ def similarity_groups(df: DataFrame, n: int = 5, num: int = 80, den: int = 100,
 
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = [shingles(t, n) for t in batch.column(1).to_pylist()]
-            own = [keys.of(s) if len(s) else np.zeros(0, np.int64) for s in found]
-            ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own) if own else np.zeros(0, np.int64)))
+            own = [keys.of(s) if len(s) else [] for s in found]
+            families = pa.array([[{"kind": f, "keys": k.tolist(), "data": d} for f, k, d in x] for x in own], FAMILIES)
             digest = pa.array([xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None for s in found], pa.int64())
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in found], pa.int64()), digest, lists], ["id", "n", "class", "keys"])
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in found], pa.int64()), digest, families], ["id", "n", "class", "families"])
 
         return apply
 
-    sets = written(map_arrow(source, make, f"id {kind}, n long, class long, keys array<long>"), "sets")
-    classes = sets.where("n > 0").groupBy("class").agg(F.min("id").alias("low"), F.first("keys").alias("keys"))
-    candidates = candidate_groups(classes.select(F.col("class").alias("node"), "keys"))
+    sets = written(map_arrow(source, make, f"id {kind}, n long, class long, families array<struct<kind:int,keys:array<long>,data:binary>>"), "sets")
+    rows = sets.where("n > 0").groupBy("class", "id").agg(F.count("*").alias("rows"))
+    classes = written(rows.groupBy("class").agg(F.min("id").alias("low"), F.sum("rows").alias("members")), "classes")
+    # one row stands for each class; only rows that repeat even the key have to be told apart
+    heads = rows.join(classes, "class").where(F.col("id").eqNullSafe(F.col("low"))).select(F.col("class").alias("node"), "low", "rows")
+    own = join_checked(sets.withColumn("node", F.col("class")), heads, ["node"]).where(F.col("id").eqNullSafe(F.col("low")))
+    own = own.select("node", "rows", F.explode("families").alias("f")).select("node", "rows", "f.*")
+    own = own.where("rows = 1").drop("rows").union(own.where("rows > 1").drop("rows").dropDuplicates(["node", "kind"]))
+    candidates = candidate_groups(own.select("node", "kind", "keys"), own.select("node", "kind", "data"), may_overlap(num, den))
 
     # one text of each candidate class, fetched by its smallest key and checked by its digest
-    ids = sets.where("n > 0").groupBy("class").agg(F.min("id").alias("id")).join(candidates, F.col("class") == F.col("node")).select("id", "class", "component")
-    texts = join_checked(source, ids, ["id"])
+    ids = classes.join(candidates, F.col("class") == F.col("node")).select("low", "class", "component")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    texts = source.join(ids, F.col("id").eqNullSafe(F.col("low")))
 
     def digest():
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -189,13 +218,14 @@ def similarity_groups(df: DataFrame, n: int = 5, num: int = 80, den: int = 100,
 
     data = map_arrow(texts.select("class", "component", "t"), digest, "node long, component long, data binary")
     groups = verified_groups(data, tree_links(num, den)).withColumnRenamed("component", "grp")
-    lows = classes.select("class", "low").join(groups, F.col("class") == F.col("node")).groupBy("grp").agg(F.min("low").alias("low"))
-    group_low = groups.join(lows, "grp").select(F.col("node").alias("class"), F.col("low").alias("glow"))
-    named = classes.select("class", "low").join(group_low, "class", "left").select("class", F.coalesce("glow", "low").alias("component_id"))
+    lows = classes.join(groups, F.col("class") == F.col("node")).groupBy("grp").agg(F.min("low").alias("glow"))
+    linked = groups.join(lows, "grp").select(F.col("node").alias("class"), "glow")
     # only classes of several rows or links need a look-up: all others are their own component
-    shared = sets.where("n > 0").groupBy("class").count().where("count > 1").select("class")
-    several = named.join(shared.union(group_low.select("class")).distinct(), "class")
-    return join_checked(sets.select("id", "n", "class"), several, ["class"], "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "class", F.coalesce("component_id", "id").alias("component_id"))
+    several = classes.join(linked, "class", "left").where("members > 1 or glow is not null").select("class", F.coalesce("glow", "low").alias("component_id"))
+    named = join_checked(sets.select("id", "n", "class"), several, ["class"], "left")
+    named = written(named.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "class", F.coalesce("component_id", "id").alias("component_id")), "groups")
+    discard(sets, classes)
+    return named
 
 
 def ngram_join(docs: DataFrame) -> DataFrame:

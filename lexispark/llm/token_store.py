@@ -26,6 +26,8 @@ from .common import shared_dir, single_threaded, slices
 
 #: Multiplier and shifts of the 64-bit finaliser used for keys.
 MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+#: Entries of a generation of each worker's cache.
+CACHE = 600_000
 _encoders: dict[int, ChunkedEncoder] = {}
 
 
@@ -99,7 +101,7 @@ def encoder(spec: str) -> ChunkedEncoder:
 
         specials = {t["content"]: t["id"] for t in json.loads(spec).get("added_tokens", [])}
         _encoders.clear()
-        _encoders[key] = ChunkedEncoder(specials, encode)
+        _encoders[key] = ChunkedEncoder(specials, encode, CACHE)
     return _encoders[key]
 
 
