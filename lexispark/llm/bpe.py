@@ -23,7 +23,9 @@ SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N
 SPACES = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000") | {chr(c) for c in range(0x2000, 0x200B)}
 
 #: Entries of a generation of each worker's caches, of which there are two; results do not depend on it.
-CACHE = 120_000
+CACHE = 160_000
+#: Remembered tests of pairs at most; one costs more than a whole word.
+PAIRS = 600_000
 _coders: dict[int, "PrefixCoder"] = {}
 
 
@@ -156,7 +158,7 @@ class PrefixCoder:
         key = left << 20 | right
         if (known := self.pairs.get(key)) is None:
             known = self.merged([self.single[c] for c in self.word[left] + self.word[right]]) == [left, right]
-            if len(self.pairs) >= 2 * CACHE:
+            if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
             self.pairs[key] = known
         return known
@@ -188,6 +190,8 @@ class PrefixCoder:
         return np.array(ids[::-1], dtype="<u4").tobytes()
 
     def encode_text(self, text: str) -> bytes:
+        if letters_only(text.removeprefix(" ")):  # one pre-token
+            return self.encode_piece(text.encode().decode("latin-1").translate(self.to_letters))
         out, pieces = [], self.pieces
         for piece in self.split.findall(text):
             if (ids := pieces.get(piece)) is None:
