@@ -118,9 +118,9 @@ def group_two_hop(spark, d):
     return table(spark, d, "orders").select("o_orderkey").join(found, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", "l_suppkey", "n_members", "part_sum")
 
 
-@query("""SELECT s_suppkey, s_name AS label, count(l_suppkey)::BIGINT AS n_items, coalesce(min(l_orderkey), -1)::BIGINT AS low FROM supplier LEFT JOIN (SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem WHERE l_orderkey < 2000) ON s_suppkey = l_suppkey GROUP BY ALL""")
+@query("""SELECT s_suppkey, s_name AS label, count(l_suppkey)::BIGINT AS n_items, coalesce(min(l_orderkey), -1)::BIGINT AS low FROM supplier LEFT JOIN (SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem) ON s_suppkey = l_suppkey GROUP BY ALL""")
 def group_nested(spark, d):
-    members = table(spark, d, "lineitem").where("l_orderkey < 2000").select("l_suppkey", "l_orderkey").distinct()
+    members = table(spark, d, "lineitem").select("l_suppkey", "l_orderkey").distinct()
     own = members.select(F.col("l_suppkey").alias("s_suppkey"), F.col("l_suppkey").alias("grp"), F.lit("").alias("label"), F.col("l_orderkey").alias("_pos"), "l_orderkey")
     rows = R.with_group(table(spark, d, "supplier").select("s_suppkey", "s_name"), own, "s_suppkey", "grp", "label", "g")
     return rows.select("s_suppkey", F.col("s_name").alias("label"), F.coalesce(F.size("g.items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce(F.get("g.items", F.lit(0))["l_orderkey"], F.lit(-1)).cast("long").alias("low"))
@@ -133,11 +133,10 @@ def substances_rollup(spark, d):
     return R.first_and_count(rows, "l_partkey", "p_name", ["l_orderkey", "l_linenumber"], "medicaments_count").select(F.col("l_partkey").alias("code"), F.col("p_name").alias("denomination"), "medicaments_count")
 
 
-@query("""SELECT type, k, name FROM (SELECT 'part' AS type, 0 AS s, p_partkey AS k, p_name AS name FROM part WHERE p_name LIKE 'small%' UNION ALL SELECT 'customer', 1, c_custkey, c_name FROM customer UNION ALL SELECT 'supplier', 2, s_suppkey, s_name FROM supplier) ORDER BY s, k LIMIT 100 OFFSET 100""")
+@query("""SELECT type, k, name FROM (SELECT 'part' AS type, 0 AS s, p_partkey AS k, p_name AS name FROM part UNION ALL SELECT 'customer', 1, c_custkey, c_name FROM customer UNION ALL SELECT 'supplier', 2, s_suppkey, s_name FROM supplier) ORDER BY s, k LIMIT 150 OFFSET 1950""")
 def tagged_union_page(spark, d):
-    parts = [("part", table(spark, d, "part").where(F.startswith("p_name", F.lit("small"))).select(F.col("p_partkey").alias("k"), F.col("p_name").alias("name")))]
-    parts += [(t, table(spark, d, t).select(F.col(f"{p}key").alias("k"), F.col(f"{t[0]}_name").alias("name"))) for t, p in (("customer", "c_cust"), ("supplier", "s_supp"))]
-    return R.page(R.tagged_union(parts), ["_src", "k"], 2, 100).select("type", "k", "name")
+    parts = [(t, table(spark, d, t).select(F.col(f"{p}key").alias("k"), F.col(f"{t[0]}_name").alias("name"))) for t, p in (("part", "p_part"), ("customer", "c_cust"), ("supplier", "s_supp"))]
+    return R.page(R.tagged_union(parts), ["_src", "k"], 14, 150).select("type", "k", "name")
 
 
 # Text and indexes
@@ -254,14 +253,16 @@ def search_global(spark, d):
 # Ingest
 
 
-@query("""WITH o AS (SELECT doc_id::VARCHAR AS filename, sha256(text) AS hash FROM documents WHERE doc_id % 3 <> 0),
-n AS (SELECT doc_id::VARCHAR AS filename, sha256(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END) AS hash FROM documents)
+@query("""WITH o AS (SELECT doc_id::VARCHAR AS filename, sha256(CASE WHEN quality = 1 THEN text ELSE '' END) AS hash FROM documents JOIN labels USING (doc_id)),
+n AS (SELECT doc_id::VARCHAR AS filename, sha256(text) AS hash FROM documents)
 SELECT filename, n.hash, o.hash AS old_hash, CASE WHEN o.filename IS NULL THEN 'new' WHEN n.hash IS NOT DISTINCT FROM o.hash THEN 'same' ELSE 'changed' END AS status FROM n LEFT JOIN o USING (filename)""")
 def change_detection(spark, d):
     docs = table(spark, d, "documents")
     digest = lambda c: F.sha2(c.cast("binary"), 256).alias("hash")
-    old = docs.where("doc_id % 3 <> 0").select(F.col("doc_id").cast("string").alias("filename"), digest(F.col("text")))
-    new = docs.select(F.col("doc_id").cast("string").alias("filename"), digest(F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))))
+    # the manifest knows the labelled documents, those of low quality by the digest of an empty file
+    seen = docs.join(table(spark, d, "labels"), "doc_id")
+    old = seen.select(F.col("doc_id").cast("string").alias("filename"), digest(F.when(F.col("quality") == 1, F.col("text")).otherwise(F.lit(""))))
+    new = docs.select(F.col("doc_id").cast("string").alias("filename"), digest(F.col("text")))
     return ingest.changed(new, old)
 
 
