@@ -19,13 +19,15 @@ from .common import components, cut, discard, written
 
 #: A block's data; an item counts for ITEM_BYTES at least, so that a block has 4096 items at most.
 BLOCK_BYTES, ITEM_BYTES, BLOCK_ITEMS = 32 << 20, 8 << 10, 4096
-#: Rows of a side that may be broadcast; beyond it, joins shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Rows of a side of numbers, and bytes of a side with data, that may be broadcast; beyond them, joins shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 
 
-def join_checked(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``small`` if counting shows that it fits, else shuffle both sides (AQE splits skewed keys)."""
-    return big.join(F.broadcast(small) if small.count() <= max_rows else small, on, how)
+def join_checked(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", data: str | None = None) -> DataFrame:
+    """Broadcast ``small`` if counting its rows, and the bytes of its column ``data``, shows that it fits, else shuffle
+    both sides (AQE splits skewed keys)."""
+    rows, size = small.agg(F.count("*"), F.coalesce(F.sum(F.length(data)), F.lit(0)) if data else F.lit(0)).first()
+    return big.join(F.broadcast(small) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else small, on, how)
 
 
 class Union:
@@ -100,7 +102,7 @@ def candidate_groups(keyed: DataFrame, signatures: DataFrame, near: Callable[[np
     nodes = shared.select("node", "kind").distinct()
     signed = written(join_checked(signatures, nodes, ["node", "kind"]), "signatures")
     keys = shared
-    shared = join_checked(keys, signed, ["node", "kind"], max_rows=BROADCAST_ROWS // 10)
+    shared = join_checked(keys, signed, ["node", "kind"], data="data")
     small = shared.where("blocks = 1").select("key", "node", "data").repartition("key").sortWithinPartitions("key", "node")
     large = shared.where("blocks > 1").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     large = large.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "data").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "node")
