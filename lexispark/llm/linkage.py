@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut, discard, written
@@ -94,11 +94,11 @@ def candidate_groups(keyed: DataFrame, signatures: DataFrame, near: Callable[[np
     length for equal kinds (one row each). Rows ``node, component`` of the items connected by pairs that share a key
     and may link by ``near``, which compares two stacks of signatures and must not refuse a true link.
 
-    Keys of one item end at a window count; only the others meet their signatures. Keys of more than ``BLOCK_ITEMS``
-    items are compared block pair by block pair."""
+    Keys of one item end at a count that is summed before it is shuffled, so a hot key is no hot task; only the others
+    meet their signatures. Keys of more than ``BLOCK_ITEMS`` items are compared block pair by block pair."""
     pairs = keyed.select(F.explode("keys").alias("key"), "node", "kind")
-    shared = pairs.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
-    shared = written(shared.withColumn("blocks", F.ceil(F.col("n") / BLOCK_ITEMS).cast("int")).drop("n"), "keys")
+    counts = written(pairs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / BLOCK_ITEMS).cast("int").alias("blocks")), "counts")
+    shared = written(join_checked(pairs, counts, ["key"]), "keys")
     nodes = shared.select("node", "kind").distinct()
     signed = written(join_checked(signatures, nodes, ["node", "kind"]), "signatures")
     keys = shared
@@ -108,7 +108,7 @@ def candidate_groups(keyed: DataFrame, signatures: DataFrame, near: Callable[[np
     large = large.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "data").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "node")
     edges = small.mapInArrow(_close(1, near), "a long, b long").union(large.mapInArrow(_close(3, near), "a long, b long"))
     groups = components(edges)
-    discard(keys, signed)
+    discard(counts, keys, signed)
     return groups
 
 
