@@ -27,7 +27,7 @@ def join_checked(big: DataFrame, small: DataFrame, on: list[str], how: str = "in
     """Broadcast ``small`` if counting its rows, and the bytes of its column ``data``, shows that it fits, else shuffle
     both sides (AQE splits skewed keys)."""
     rows, size = small.agg(F.count("*"), F.coalesce(F.sum(F.length(data)), F.lit(0)) if data else F.lit(0)).first()
-    return big.join(F.broadcast(small) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else small, on, how)
+    return big.join(F.broadcast(small) if rows <= (BROADCAST_ROWS // 10 if data else BROADCAST_ROWS) and size <= BROADCAST_BYTES else small, on, how)
 
 
 class Union:
