@@ -12,7 +12,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut, discard, written
@@ -89,20 +90,64 @@ def _close(keys: int, near: Callable[[np.ndarray, np.ndarray], np.ndarray]):
     return run
 
 
+def _count_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a part in order of its first column: rows of values that several rows hold, with their number, and all rows of
+    the part's first and last value (``edge``), which other parts may hold too."""
+    part, held, began = TaskContext.get().partitionId(), [], False
+
+    def counted(rows: pa.Table, last: bool) -> list[pa.RecordBatch]:
+        nonlocal began
+        key = rows.column(0).to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        n, edge = np.diff(np.append(starts, len(key))), np.zeros(len(starts), bool)
+        edge[0] |= not began
+        edge[-1] |= last
+        began, n, edge = True, np.repeat(n, n), np.repeat(edge, n)
+        for name, values in (("n", n), ("part", np.full(len(key), part, np.int32)), ("edge", edge)):
+            rows = rows.append_column(name, pa.array(values))
+        return rows.filter(pa.array(edge | (n > 1))).to_batches(max_chunksize=1 << 16)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(0).to_numpy()
+        if held and at == key[0] == key[-1]:
+            held.append(batch)
+            continue
+        rows, at = pa.Table.from_batches([*held, batch]), key[-1]
+        start = rows.num_rows - batch.num_rows + int(np.searchsorted(key, at))  # the last value's run stays open
+        if start:
+            yield from counted(rows.slice(0, start), False)
+        held = rows.slice(start).to_batches()
+    if held:
+        yield from counted(pa.Table.from_batches(held), True)
+
+
+def shared_keys(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``pairs`` (``key long, node long, kind int``, no nulls) whose key has several rows, with their number
+    ``n``; and the table of ``written`` behind them.
+
+    Rows are dealt once, by ranges of key and node, so that a key of any share of the rows spreads over many tasks.
+    Only a part's first and last key can go on in another part: these, two a part at most, are summed and broadcast."""
+    dealt = pairs.select("key", "node", "kind").repartitionByRange("key", "node").sortWithinPartitions("key")
+    counted = written(dealt.mapInArrow(_count_runs, "key long, node long, kind int, n long, part int, edge boolean"), "keys")
+    edges = counted.where("edge").groupBy("key", "part").agg(F.max("n").alias("n")).groupBy("key").agg(F.sum("n").alias("total"))
+    found = counted.join(F.broadcast(edges), "key", "left").withColumn("n", F.coalesce("total", "n"))
+    return found.where("n > 1").select("key", "node", "kind", "n"), counted
+
+
 def candidate_groups(keyed: DataFrame, signatures: DataFrame, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
     """``keyed``: rows ``node long, kind int, keys array<long>``; ``signatures``: ``node, kind, data binary``, of equal
     length for equal kinds (one row each). Rows ``node, component`` of the items connected by pairs that share a key
     and may link by ``near``, which compares two stacks of signatures and must not refuse a true link.
 
-    Keys of one item end at a window count; only the others meet their signatures. Keys of more than ``BLOCK_ITEMS``
+    Keys of one item end at a count; only the others meet their signatures. Keys of more than ``BLOCK_ITEMS``
     items are compared block pair by block pair."""
-    pairs = keyed.select(F.explode("keys").alias("key"), "node", "kind")
-    shared = pairs.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
-    shared = written(shared.withColumn("blocks", F.ceil(F.col("n") / BLOCK_ITEMS).cast("int")).drop("n"), "keys")
+    shared, keys = shared_keys(keyed.select(F.explode("keys").alias("key"), "node", "kind"))
+    shared = shared.withColumn("blocks", F.ceil(F.col("n") / BLOCK_ITEMS).cast("int")).drop("n")
     nodes = shared.select("node", "kind").distinct()
     signed = written(join_checked(signatures, nodes, ["node", "kind"]), "signatures")
-    keys = shared
-    shared = join_checked(keys, signed, ["node", "kind"], data="data")
+    shared = join_checked(shared, signed, ["node", "kind"], data="data")
     small = shared.where("blocks = 1").select("key", "node", "data").repartition("key").sortWithinPartitions("key", "node")
     large = shared.where("blocks > 1").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     large = large.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "data").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "node")

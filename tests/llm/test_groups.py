@@ -1,6 +1,7 @@
 """Similarity groups, line dedup, decontamination and search against brute force."""
 
 import random
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -53,6 +54,30 @@ def test_similarity_groups(spark, monkeypatch, n, num, block):
     assert kept == set(classes(len(texts), links))
 
 
+def test_shared_keys(spark):
+    draw = random.Random(2)
+    keys = [7] * 900 + [-(1 << 63), (1 << 63) - 1] + [draw.randrange(-500, 500) for _ in range(1100)]
+    pairs = list(enumerate(draw.sample(keys, len(keys))))
+    # small batches, and parts that stay apart
+    own = {"spark.sql.execution.arrow.maxRecordsPerBatch": "40", "spark.sql.shuffle.partitions": "9", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        frame = spark.createDataFrame(pairs, "node long, key long").selectExpr("key", "node", "0 as kind")
+        found, counted = linkage.shared_keys(frame)
+        rows = sorted((r.key, r.node, r.n) for r in found.collect())
+        several = Counter(k for _, k in pairs)
+        assert rows == sorted((k, node, several[k]) for node, k in pairs if several[k] > 1)
+        # the hot key is dealt over many parts, none of which holds much more than its share
+        sizes = [r.n for r in counted.where("key = 7").groupBy("part").agg({"n": "max"}).toDF("part", "n").collect()]
+        assert len(sizes) > 2 and max(sizes) < 600
+        assert linkage.shared_keys(frame.where("false"))[0].count() == 0
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_tree_prunes_nothing_linked():
     sets = [N.shingles(t, 3) for t in near_texts(5, 40)]
     sets = [s for s in sets if len(s)]
