@@ -163,8 +163,8 @@ def verified_groups(data: DataFrame, link: Callable[[list[bytes]], Iterator[tupl
     data = written(data, "blocks")
     weight = F.greatest(F.length("data"), F.lit(ITEM_BYTES)).cast("long")
     sizes = data.groupBy("component").agg(F.ceil(F.sum(weight) / BLOCK_BYTES).cast("int").alias("blocks"))
-    large = sizes.where("blocks > 1")
-    placed = data.join(large, "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    large = written(sizes.where("blocks > 1"), "large")
+    placed = join_checked(data, large, ["component"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     placed = placed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select("component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "data")
 
@@ -192,5 +192,5 @@ def verified_groups(data: DataFrame, link: Callable[[list[bytes]], Iterator[tupl
     place = ["component", "low", "high"]
     edges = placed.repartition(*place).sortWithinPartitions(*place, "node").mapInArrow(run, "a long, b long")
     groups = components(cut(edges))
-    discard(data)
+    discard(data, large)
     return groups
