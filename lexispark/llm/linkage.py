@@ -24,6 +24,10 @@ BLOCK_BYTES, ITEM_BYTES, BLOCK_ITEMS = 32 << 20, 8 << 10, 4096
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 
 
+#: All pairs of a run of so many rows.
+SHORT_PAIRS = [np.triu_indices(n, 1) for n in range(33)]
+
+
 def join_checked(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", data: str | None = None) -> DataFrame:
     """Broadcast ``small`` if counting its rows, and the bytes of its column ``data``, shows that it fits, else shuffle
     both sides (AQE splits skewed keys)."""
@@ -67,12 +71,36 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[np.nda
         yield np.concatenate(nodes), data
 
 
-def _close(keys: int, near: Callable[[np.ndarray, np.ndarray], np.ndarray]):
-    """Pairs of a run that may link and connect all that such pairs connect."""
+def _close(keys: int, near: Callable[[np.ndarray, np.ndarray], np.ndarray], pairs: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None):
+    """Pairs of a run that may link and connect all that such pairs connect. With ``pairs``, which tells the same as
+    ``near`` row by row, many short runs are compared at once."""
+
+    def together(runs):
+        """Pairs of indices into the runs' rows, one run after another."""
+        own = np.frombuffer(b"".join(x for _, data in runs for x in data), np.uint8)
+        size = [len(data) for _, data in runs]
+        own, starts = own.reshape(sum(size), -1), np.cumsum([0, *size])
+        i, j = (np.concatenate([SHORT_PAIRS[n][side] + at for n, at in zip(size, starts[:-1], strict=True)]) for side in (0, 1))
+        may, union, nodes = pairs(own[i], own[j]), Union(len(own)), np.concatenate([x for x, _ in runs])
+        for u, v in zip(i[may].tolist(), j[may].tolist(), strict=True):
+            if union.find(u) != union.find(v):
+                union.join(u, v)
+                yield int(nodes[u]), int(nodes[v])
 
     def run(batches):
-        a, b = [], []
+        a, b, held, waiting = [], [], [], 0
         for nodes, data in _runs(batches, keys):
+            if pairs and len(data) < len(SHORT_PAIRS):
+                if len(data) > 1:
+                    held.append((nodes, data))
+                    waiting += len(data) ** 2
+                if waiting < 1 << 16:
+                    continue
+                for u, v in together(held):
+                    a.append(u)
+                    b.append(v)
+                held, waiting = [], 0
+                continue
             own, union = np.frombuffer(b"".join(data), np.uint8).reshape(len(data), -1), Union(len(data))
             rows = max(1, min(256, (1 << 24) // max(own.size, 1)))
             for first in range(0, len(own), rows):
@@ -85,6 +113,9 @@ def _close(keys: int, near: Callable[[np.ndarray, np.ndarray], np.ndarray]):
             if len(a) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
                 a, b = [], []
+        for u, v in together(held) if held else ():
+            a.append(u)
+            b.append(v)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
@@ -136,10 +167,11 @@ def shared_keys(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found.where("n > 1").select("key", "node", "kind", "n"), counted
 
 
-def candidate_groups(keyed: DataFrame, signatures: DataFrame, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+def candidate_groups(keyed: DataFrame, signatures: DataFrame, near: Callable[[np.ndarray, np.ndarray], np.ndarray], pairs: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """``keyed``: rows ``node long, kind int, keys array<long>``; ``signatures``: ``node, kind, data binary``, of equal
     length for equal kinds (one row each). Rows ``node, component`` of the items connected by pairs that share a key
-    and may link by ``near``, which compares two stacks of signatures and must not refuse a true link.
+    and may link by ``near``, which compares two stacks of signatures and must not refuse a true link; ``pairs``, if given,
+    is the same row by row.
 
     Keys of one item end at a count; only the others meet their signatures. Keys of more than ``BLOCK_ITEMS``
     items are compared block pair by block pair."""
@@ -151,7 +183,7 @@ def candidate_groups(keyed: DataFrame, signatures: DataFrame, near: Callable[[np
     small = shared.where("blocks = 1").select("key", "node", "data").repartition("key").sortWithinPartitions("key", "node")
     large = shared.where("blocks > 1").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     large = large.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "data").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "node")
-    edges = small.mapInArrow(_close(1, near), "a long, b long").union(large.mapInArrow(_close(3, near), "a long, b long"))
+    edges = small.mapInArrow(_close(1, near, pairs), "a long, b long").union(large.mapInArrow(_close(3, near), "a long, b long"))
     groups = components(edges)
     discard(keys, signed)
     return groups

@@ -127,6 +127,36 @@ def test_line_dedup(spark, monkeypatch):
         assert found[d].n_lines == len(text.split("\n"))
 
 
+def test_line_dedup_recall(spark):
+    """Lines with changed words or characters against all pairs of enough edit similarity."""
+    draw = random.Random(6)
+    words = ["".join(draw.choices("aeioubdfgklmnprst", k=draw.randint(2, 9))) for _ in range(3000)]
+    lines = []
+    for n in (3, 10, 20, 30, 50, 100) * 15:
+        line = " ".join(draw.choices(words, k=n))
+        lines.append(line)
+        for kind in ("word", "characters"):
+            own = line
+            for _ in range(draw.randint(1, 1 + n // 4)):
+                if kind == "word":
+                    changed = own.split()
+                    changed[draw.randrange(n)] = draw.choice(words)
+                    changed = " ".join(changed)
+                else:
+                    at = draw.randrange(len(own) - 1)
+                    changed = own[:at] + draw.choice(["", "xy", "z"]) + own[at + 1 :]
+                own = changed if L.similar(line, changed) else own
+            lines.append(own)
+    lines = [x.decode() for x in sorted({L.normalised(x)[0] for x in lines})]
+    near = [(i, j) for i, j in combinations(range(len(lines)), 2) if L.similar(lines[i], lines[j])]
+    assert len(near) > 100
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    kept = {r.doc_id for r in L.dedup_lines(docs).where("n_kept > 0").collect()}
+    whole = classes(len(lines), near)
+    assert kept >= set(whole)  # no line goes without a link
+    assert len(lines) - len(kept) >= 0.9 * (len(lines) - len(set(whole)))
+
+
 def test_line_dedup_odd_rows(spark):
     rows = [(2, "same line\nown"), (1, "Same line!"), (3, None), (4, ""), (5, "\n\n"), (2, "same line\nown"), (None, "own"), (6, "x" * 50_000 + "\nsame line")]
     docs = spark.createDataFrame([(a, b, "e", 1) for a, b in rows], "doc_id long, text string, id string, th int")
