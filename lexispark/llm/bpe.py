@@ -23,7 +23,7 @@ SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N
 SPACES = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000") | {chr(c) for c in range(0x2000, 0x200B)}
 
 #: Entries of a generation of each worker's caches, of which there are two; results do not depend on it.
-CACHE = 160_000
+CACHE = 500_000
 #: Remembered tests of pairs at most; one costs more than a whole word.
 PAIRS = 600_000
 _coders: dict[int, "PrefixCoder"] = {}
@@ -44,18 +44,22 @@ def letters_only(text: str) -> bool:
 class PieceCache(dict):
     """Chunk (what stands between single spaces) -> little-endian ids, or None where a chunk borders on white space.
 
-    ``prefix`` is what the pre-tokenizer puts before a chunk: a space, or nothing for ``heads`` of texts and lines. Single
-    line ends between non-spaces, and a sign after letters, are pre-tokens of their own, so chunks are put together from
-    the parts between them, which repeat more often."""
+    A chunk begins with a line end where one stands before it instead of a space, and with nothing at a text's start
+    (``heads``). Single line ends between non-spaces, and signs after letters, are pre-tokens of their own, so chunks are
+    put together from the parts between them, which repeat more often."""
+
+    #: ASCII signs that make one pre-token together; an apostrophe may begin one of its own.
+    SIGNS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c != "'")
 
     def __init__(self, encode, prefix: str, size: int, heads: "PieceCache | None" = None):
         super().__init__()
         self.encode, self.prefix, self.size, self.older = encode, prefix, size, {}
-        self.heads = self if heads is None else heads
-        self.signs = {c: encode(c) for c in ".,;:!?\n"}
+        self.heads, self.tails, self.line_end = (self if heads is None else heads), {}, encode("\n")
 
     def __missing__(self, chunk: str):
-        found = self.older[chunk] if chunk in self.older else self.fresh(chunk)
+        found = self.older.get(chunk)
+        if found is None:
+            found = self.fresh(chunk)
         if len(chunk) <= 24:
             if len(self) >= self.size:  # the full generation becomes the older one; what is still in use comes back from it
                 self.older = dict(self)
@@ -63,21 +67,27 @@ class PieceCache(dict):
             self[chunk] = found
         return found
 
+    def tail(self, signs: str) -> bytes:
+        if (found := self.tails.get(signs)) is None:
+            found = self.encode(signs)
+            if len(self.tails) < 4096 and len(signs) <= 16:
+                self.tails[signs] = found
+        return found
+
     def fresh(self, chunk: str):
+        if chunk[:1] == "\n":
+            rest = self.heads[chunk[1:]]
+            return None if rest is None else self.line_end + rest
         if not chunk or chunk[0] in SPACES or chunk[-1] in SPACES:
             return None
-        if chunk[-1] in self.signs and letters_only(chunk[:-1]):
-            return self[chunk[:-1]] + self.signs[chunk[-1]]
-        if "\n" in chunk:
-            first, *lines = chunk.split("\n")
-            if first[-1] not in SPACES and all(x and x[0] not in SPACES and x[-1] not in SPACES for x in lines):
-                return self.signs["\n"].join([self[first], *map(self.heads.__getitem__, lines)])
+        if len(head := chunk.rstrip(self.SIGNS)) < len(chunk) and letters_only(head):
+            return self[head] + self.tail(chunk[len(head) :])
         return self.encode(self.prefix + chunk)
 
 
 class ChunkedEncoder:
-    """Splits texts where a single space stands between non-spaces: the pre-tokenizer always splits there, so the
-    encoding of a chunk does not depend on its neighbours. Special tokens are cut out first, as the library does."""
+    """Splits texts where a single space or line end stands between non-spaces: the pre-tokenizer always splits there, so
+    the encoding of a chunk does not depend on its neighbours. Special tokens are cut out first, as the library does."""
 
     def __init__(self, special: dict[str, int], encode, size: int = CACHE):
         import regex
@@ -102,7 +112,7 @@ class ChunkedEncoder:
     def plain(self, text: str) -> bytes:
         if not text:
             return b""
-        first, *rest = text.split(" ")
+        first, *rest = text.replace("\n", " \n").split(" ")
         try:
             return b"".join([self.heads[first], *map(self.chunks.__getitem__, rest)])
         except TypeError:  # a chunk borders on white space
@@ -121,6 +131,7 @@ class PrefixCoder:
         self.split = regex.compile(SPLIT)
         letters = byte_letters()
         self.to_letters = {b: c for b, c in enumerate(letters)}
+        self.space = letters[0x20]
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in merges]
         self.rank = {(vocab[a], vocab[b]): (k, vocab[a + b]) for k, (a, b) in enumerate(pairs)}
         self.single = {c: vocab[c] for c in letters if c in vocab}
@@ -190,7 +201,10 @@ class PrefixCoder:
         return np.array(ids[::-1], dtype="<u4").tobytes()
 
     def encode_text(self, text: str) -> bytes:
-        if letters_only(text.removeprefix(" ")):  # one pre-token
+        word = text[1:] if text[:1] == " " else text
+        if word.isascii() and word.isalpha():  # one pre-token, whose bytes stand for themselves
+            return self.encode_piece(f"{self.space}{word}" if word is not text else word)
+        if letters_only(word):  # one pre-token
             return self.encode_piece(text.encode().decode("latin-1").translate(self.to_letters))
         out, pieces = [], self.pieces
         for piece in self.split.findall(text):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -11,6 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of a side of numbers that may be broadcast; beyond them, joins shuffle.
+BROADCAST_ROWS = 1_000_000
+
 #: Rows of one Python-side slice; an Arrow batch is walked in slices so that whole texts of few rows are alive at once.
 SLICE_ROWS = 256
 
@@ -45,17 +49,33 @@ def shared_dir(spark: SparkSession) -> str:
     return configured
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its scheme, the default file system's where it names none."""
+    context = spark.sparkContext
+    own = context._jvm.org.apache.hadoop.fs.Path(path)
+    found = own.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(own).toString()
+    return found.replace("file:/", "file:///", 1) if found.startswith("file:/") and not found.startswith("file://") else found
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def tidy(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps: it does so once the driver's handles are collected, which
+    on a driver with little garbage may be long after the disks are full."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write once as Parquet in the shared folder and read back: a survivor of lost executors, columnar and prunable."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
+    tidy(spark)
     found = spark.read.schema(df.schema).parquet(path)
     found.written_path = path
     return found
@@ -99,6 +119,16 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
     return df.mapInArrow(run, schema)
 
 
+def drop_rows(docs: DataFrame, found: DataFrame, key: str, text: str) -> DataFrame:
+    """``docs`` without the rows whose key and text hash are in ``found`` (``k, h``), whatever its columns' names."""
+    names = docs.columns
+    numbered = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    k, t = (f"c{names.index(c)}" for c in (key, text))
+    found = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
+    left = numbered.withColumn("own", F.xxhash64(F.col(t).cast("string"))).join(found, F.col(k).eqNullSafe(F.col("k")) & (F.col("own") == F.col("h")), "left_anti")
+    return left.drop("own").toDF(*names)
+
+
 def single_threaded() -> None:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
 

@@ -1,18 +1,21 @@
 """Token-id files with constant-time keyed access.
 
 A store is a folder of shards in ascending key order. ``shard-K.ids`` holds raw ids, nothing else, little-endian,
-16 bits each where the vocabulary allows and 32 otherwise; ``shard-K.idx`` holds the header and a minimal perfect
-hash over the shard's keys whose slots give fingerprint, position and length. Null keys have payload but no slot;
-of equal keys, the slot names the first and their number. Files are written under a task's own name and renamed, so
-a repeated or speculative task leaves one whole file.
+16 bits each where the vocabulary allows and 32 otherwise; ``shard-K.keys`` the documents' keys in order, 64 bits each;
+``shard-K.idx`` a minimal perfect hash over the documents, whose slots give start, length, position and fingerprint.
+Every row has a slot of its own: what is hashed is the key and how many equal keys the shard has before it (null keys
+count apart). A look-up takes a few ranged reads of fixed size, whatever the shard's size. Files are written under a
+task's own name and renamed, so a repeated or speculative task leaves one whole file.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import uuid
 import zlib
 from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,12 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import ChunkedEncoder, byte_letters, letters_only
-from .common import shared_dir, single_threaded, slices
+from .common import qualified, shared_dir, single_threaded, slices
 
 #: Multiplier and shifts of the 64-bit finaliser used for keys.
 MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+#: Bytes of input to a shard: at least, up to as many shards as shuffles have partitions; and at most, beyond these.
+SHARD_LEAST, SHARD_MOST = 16 << 20, 128 << 20
 #: Entries of a generation of each worker's cache.
-CACHE = 600_000
+CACHE = 900_000
 _encoders: dict[int, ChunkedEncoder] = {}
 
 
@@ -39,8 +44,33 @@ def mix(keys: np.ndarray, seed: int) -> np.ndarray:
         return h ^ (h >> np.uint64(31))
 
 
+def mix_pair(keys: np.ndarray, turn: np.ndarray, seed: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(mix(keys, 2 * seed) + turn * MIX_B, 2 * seed + 1)
+
+
+#: Seed of fingerprints, beyond all levels, and what a null key's turn begins with.
+FINGER, NULL_TURN = 1 << 20, 1 << 62
+
+
+def fingers(keys: np.ndarray, turn: np.ndarray) -> np.ndarray:
+    return (mix_pair(keys, turn, FINGER) >> np.uint64(32)).astype("<u4")
+
+
+def turns(keys: np.ndarray, nulls: int) -> np.ndarray:
+    """How many equal keys stand before each of the keys in order, of which the first ``nulls`` are null."""
+    at = np.arange(len(keys), dtype=np.int64)
+    new = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
+    if nulls < len(keys):
+        new[nulls] = True
+    first = np.maximum.accumulate(np.where(new, at, 0)) if len(keys) else at
+    turn = at - first
+    turn[:nulls] = NULL_TURN + at[:nulls]
+    return turn.view(np.uint64)
+
+
 class PerfectHash:
-    """Minimal perfect hash by levels: a key alone in its cell of a level is placed there, the rest go on. The slot is
+    """Minimal perfect hash by levels: a pair alone in its cell of a level is placed there, the rest go on. The slot is
     the number of set cells before its cell, which running counts per 64 cells give in constant time."""
 
     GAMMA = 2.0
@@ -53,26 +83,26 @@ class PerfectHash:
         self.first = np.cumsum([0, *(len(x) for x in levels)])
 
     @classmethod
-    def build(cls, keys: np.ndarray) -> "PerfectHash":
-        """``keys``: distinct uint64."""
-        levels, rest = [], keys
-        while len(rest):
-            words = max(1, int(np.ceil(len(rest) * cls.GAMMA / 64)))
-            cell = mix(rest, len(levels)) % np.uint64(words * 64)
-            once = np.bincount(cell.astype(np.int64), minlength=words * 64) == 1
-            bits = np.packbits(once, bitorder="little").view("<u8").astype(np.uint64)
-            levels.append(bits)
-            rest = rest[~once[cell.astype(np.int64)]]
+    def build(cls, keys: np.ndarray, turn: np.ndarray) -> "PerfectHash":
+        """``keys`` and ``turn``: distinct pairs of uint64."""
+        levels = []
+        while len(keys):
+            words = max(1, int(np.ceil(len(keys) * cls.GAMMA / 64)))
+            cell = (mix_pair(keys, turn, len(levels)) % np.uint64(words * 64)).astype(np.int64)
+            once = np.bincount(cell, minlength=words * 64) == 1
+            levels.append(np.packbits(once, bitorder="little").view("<u8").astype(np.uint64))
+            rest = ~once[cell]
+            keys, turn = keys[rest], turn[rest]
         return cls(levels)
 
-    def slots(self, keys: np.ndarray) -> np.ndarray:
-        """Slot of each key, -1 where no level claims it (a stranger may still get a slot: compare fingerprints)."""
+    def slots(self, keys: np.ndarray, turn: np.ndarray) -> np.ndarray:
+        """Slot of each pair, -1 where no level claims it (a stranger may still get a slot: compare fingerprints)."""
         out = np.full(len(keys), -1, dtype=np.int64)
         left = np.arange(len(keys))
         for k, bits in enumerate(self.levels):
             if not len(left):
                 break
-            cell = (mix(keys[left], k) % np.uint64(len(bits) * 64)).astype(np.int64)
+            cell = (mix_pair(keys[left], turn[left], k) % np.uint64(len(bits) * 64)).astype(np.int64)
             word, bit = cell >> 6, (cell & 63).astype(np.uint64)
             hit = (bits[word] >> bit) & np.uint64(1) == 1
             below = np.bitwise_count(bits[word] & ((np.uint64(1) << bit) - np.uint64(1))).astype(np.int64)
@@ -91,9 +121,13 @@ def encoder(spec: str) -> ChunkedEncoder:
         tokenizer.no_truncation()
         tokenizer.no_padding()
         model, to_letters = tokenizer.model, dict(enumerate(byte_letters()))
+        space = to_letters[0x20]
 
         def encode(text: str) -> bytes:
-            if letters_only(text.removeprefix(" ")):  # one pre-token: straight to the library's model
+            word = text[1:] if text[:1] == " " else text
+            if word.isascii() and word.isalpha():  # one pre-token, whose bytes stand for themselves
+                ids = [t.id for t in model.tokenize(f"{space}{word}" if word is not text else word)]
+            elif letters_only(word):  # one pre-token: straight to the library's model
                 ids = [t.id for t in model.tokenize(text.encode().decode("latin-1").translate(to_letters))]
             else:
                 ids = tokenizer.encode(text, add_special_tokens=False).ids
@@ -106,124 +140,164 @@ def encoder(spec: str) -> ChunkedEncoder:
 
 
 def _open(folder: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+    return fs.FileSystem.from_uri(folder)
 
 
 def _put(files: fs.FileSystem, path: str, parts: Iterator[bytes]) -> None:
     own = f"{path}.{uuid.uuid4().hex}"
-    with files.open_output_stream(own) as out:
-        for x in parts:
-            out.write(x)
-    files.move(own, path)
-
-
-def _index(keys: list[int | None], lengths: np.ndarray, width: int) -> bytes:
-    """Header (JSON, one line) and arrays of one shard, its documents in order."""
-    starts = np.cumsum(lengths) - lengths
-    known = np.array([k for k in keys if k is not None], dtype=np.int64)
-    nulls = len(keys) - len(known)
-    distinct, first, same = np.unique(known, return_index=True, return_counts=True)
-    hashed = distinct.view(np.uint64)
-    mph = PerfectHash.build(hashed)
-    slot = mph.slots(hashed)
-    order = np.empty(len(distinct), dtype=np.int64)
-    order[slot] = np.arange(len(distinct))
-    arrays = {
-        "finger": (mix(hashed, 1 << 20) >> np.uint64(32)).astype("<u4")[order],
-        "doc": (first + nulls).astype("<i8")[order],
-        "same": same.astype("<i4")[order],
-        "start": starts.astype("<i8"),
-        "length": lengths.astype("<i8"),
-        "key": np.array([k or 0 for k in keys], dtype="<i8"),
-        **{f"level{k}": x.astype("<u8") for k, x in enumerate(mph.levels)},
-    }
-    head = {"width": width, "docs": len(keys), "nulls": nulls, "arrays": [[k, x.dtype.str, len(x)] for k, x in arrays.items()]}
-    return json.dumps(head).encode() + b"\n" + b"".join(x.tobytes() for x in arrays.values())
+    try:
+        with files.open_output_stream(own) as out:
+            for x in parts:
+                out.write(x)
+        files.move(own, path)
+    except BaseException:
+        if files.get_file_info(own).type != fs.FileType.NotFound:
+            files.delete_file(own)
+        raise
+
+
+#: An index file: so many header bytes (64-bit numbers: width, documents, null keys, levels, words of each level), then
+#: word and count before it of all levels, then a record for each slot.
+HEADER, WORD = 1024, np.dtype([("bits", "<u8"), ("before", "<u8")])
+RECORD = np.dtype([("start", "<u8"), ("length", "<u4"), ("doc", "<u4"), ("finger", "<u4"), ("unused", "<u4")])
+
+
+def _index(keys: np.ndarray, nulls: int, lengths: np.ndarray, width: int) -> bytes:
+    hashed, turn = keys.view(np.uint64), turns(keys, nulls)
+    mph = PerfectHash.build(hashed, turn)
+    records = np.zeros(len(keys), RECORD)
+    slot = mph.slots(hashed, turn)
+    for name, values in (("start", np.cumsum(lengths) - lengths), ("length", lengths), ("doc", np.arange(len(keys))), ("finger", fingers(hashed, turn))):
+        records[name][slot] = values
+    words = np.zeros(sum(map(len, mph.levels)), WORD)
+    if len(words):
+        words["bits"], words["before"] = np.concatenate(mph.levels), mph.before
+    head = np.array([width, len(keys), nulls, len(mph.levels), *map(len, mph.levels)], "<u8").tobytes()
+    return head.ljust(HEADER, b"\0") + words.tobytes() + records.tobytes()
 
 
 class Shard:
-    """Reader of one shard."""
+    """Reader of one shard; the header, which has a fixed size, is read once."""
 
     def __init__(self, folder: str, k: int):
         self.files, root = _open(folder)
         self.path = f"{root}/shard-{k:06d}"
-        with self.files.open_input_stream(f"{self.path}.idx") as f:
-            raw = f.read()
-        head, _, body = raw.partition(b"\n")
-        self.head, at, self.arrays = json.loads(head), 0, {}
-        for name, kind, n in self.head["arrays"]:
-            self.arrays[name] = np.frombuffer(body, dtype=kind, count=n, offset=at)
-            at += self.arrays[name].nbytes
-        self.mph = PerfectHash([self.arrays[f"level{i}"] for i in range(sum(n.startswith("level") for n in self.arrays))])
-
-    def ids(self, doc: int) -> np.ndarray:
-        """Ids of the doc-th document, by one ranged read."""
-        width = self.head["width"]
-        with self.files.open_input_file(f"{self.path}.ids") as f:
-            f.seek(int(self.arrays["start"][doc]) * width)
-            return np.frombuffer(f.read(int(self.arrays["length"][doc]) * width), dtype=f"<u{width}").astype(np.uint32)
-
-    def get(self, key: int) -> np.ndarray | None:
-        """Ids of the first document with this key, None if the shard has none: constant time."""
-        hashed = np.array([key], dtype=np.int64).view(np.uint64)
-        slot = int(self.mph.slots(hashed)[0])
-        if slot < 0 or self.arrays["finger"][slot] != (mix(hashed, 1 << 20) >> np.uint64(32))[0]:
-            return None
-        doc = int(self.arrays["doc"][slot])
-        return self.ids(doc) if self.arrays["key"][doc] == key else None
+        self.index, self.payload = (self.files.open_input_file(f"{self.path}.{x}") for x in ("idx", "ids"))
+        head = np.frombuffer(self._at(0, HEADER), "<u8").astype(np.int64)
+        self.width, self.docs, self.nulls, levels = head[:4].tolist()
+        self.words = head[4 : 4 + levels].tolist()
+        self.records_at = HEADER + sum(self.words) * WORD.itemsize
+
+    def _at(self, start: int, size: int) -> bytes:
+        return self.index.read_at(size, start)
+
+    def ids(self, start: int, length: int) -> np.ndarray:
+        return np.frombuffer(self.payload.read_at(length * self.width, start * self.width), f"<u{self.width}")
+
+    def get(self, key: int | None, turn: int = 0) -> np.ndarray | None:
+        """Ids of the row that has this key and so many equal keys before it, None if there is none. Reads a word a
+        level, a record, a key and the ids."""
+        known, own = np.array([key or 0], np.int64).view(np.uint64), np.array([turn + (NULL_TURN if key is None else 0)], np.uint64)
+        at = HEADER
+        for k, words in enumerate(self.words):
+            cell = int(mix_pair(known, own, k)[0]) % (words * 64)
+            bits, before = np.frombuffer(self._at(at + (cell >> 6) * WORD.itemsize, WORD.itemsize), WORD)[0].tolist()
+            if bits >> (cell & 63) & 1:
+                slot = before + (bits & (1 << (cell & 63)) - 1).bit_count()
+                record = np.frombuffer(self._at(self.records_at + slot * RECORD.itemsize, RECORD.itemsize), RECORD)[0]
+                if record["finger"] != fingers(known, own)[0]:
+                    return None
+                with self.files.open_input_file(f"{self.path}.keys") as f:  # a fingerprint may be a stranger's
+                    if int.from_bytes(f.read_at(8, int(record["doc"]) * 8), "little", signed=True) != (key or 0) or (record["doc"] < self.nulls) != (key is None):
+                        return None
+                return self.ids(int(record["start"]), int(record["length"])).astype(np.uint32)
+            at += words * WORD.itemsize
+        return None
 
-    def documents(self, rows: int = 256) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
-        """Keys, lengths and all ids of runs of documents, in order."""
-        width, nulls = self.head["width"], self.head["nulls"]
-        with self.files.open_input_stream(f"{self.path}.ids") as f:
-            for k in range(0, self.head["docs"], rows):
-                lengths = self.arrays["length"][k : k + rows]
-                keys = [None if k + i < nulls else int(x) for i, x in enumerate(self.arrays["key"][k : k + rows])]
-                yield keys, lengths, np.frombuffer(f.read(int(lengths.sum()) * width), dtype=f"<u{width}")
+    def documents(self, rows: int = 256) -> Iterator[tuple[list, np.ndarray, np.ndarray, list[np.ndarray]]]:
+        """Keys, starts, lengths and ids of runs of documents in order: each key is looked up in the perfect hash, its
+        fingerprint compared, and its ids are read from where the slot says."""
+        with self.files.open_input_file(f"{self.path}.keys") as f:
+            keys = np.frombuffer(f.read(), "<i8").astype(np.int64)
+        words = np.frombuffer(self._at(HEADER, sum(self.words) * WORD.itemsize), WORD)["bits"].astype(np.uint64)
+        records = np.frombuffer(self._at(self.records_at, self.docs * RECORD.itemsize), RECORD)
+        mph, turn = PerfectHash(np.split(words, np.cumsum(self.words)[:-1]) if self.words else []), turns(keys, self.nulls)
+        for k in range(0, len(keys), rows):
+            known, own = keys[k : k + rows].view(np.uint64), turn[k : k + rows]
+            slot = mph.slots(known, own)
+            found = records[slot]
+            if (slot < 0).any() or (found["finger"] != fingers(known, own)).any():
+                raise ValueError(f"{self.path}: the index lacks a key")
+            starts, lengths = found["start"].astype(np.int64), found["length"].astype(np.int64)
+            low = int(starts.min())
+            span = self.ids(low, int((starts + lengths).max()) - low)
+            names = [None if k + i < self.nulls else x for i, x in enumerate(keys[k : k + rows].tolist())]
+            yield names, starts, lengths, [span[a - low : a - low + n] for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
+
+
+def shard_count(df: DataFrame) -> int:
+    """By the plan's estimate of its input; results do not depend on it."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    shuffled = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if size >= 1 << 60:  # not known
+        return shuffled
+    return max(1, min(math.ceil(size / SHARD_LEAST), shuffled), math.ceil(size / SHARD_MOST))
 
 
 def write_store(df: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode every whole text, append ``end_id``, write the shards; returns one row per shard: ``shard, docs, ids, low, high``.
 
-    Null texts are empty (the end id alone). Keys are range-partitioned, so shard order is key order and equal keys
-    share a shard; null keys come first. The number of shards follows ``spark.sql.shuffle.partitions``.
+    Null texts are empty (the end id alone). Keys are range-partitioned, so shard order is key order; null keys come
+    first; rows of one key are ordered by their text and may fall into several shards. Repeated rows are rows of their
+    own. Other columns are not read; an empty table gives no shard. The number of shards follows the input's size.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = f.read()
     top = max([*json.loads(spec)["model"]["vocab"].values(), *(t["id"] for t in json.loads(spec).get("added_tokens", [])), end_id], default=0)
     width = 2 if top < 1 << 16 else 4
+    folder = qualified(df.sparkSession, folder)
     files, root = _open(folder)
     files.create_dir(root)
-    shards = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    source = df.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
-    dealt = source.repartitionByRange(shards, "k").sortWithinPartitions("k", F.xxhash64("t"), "t").select("k", "t", F.spark_partition_id().alias("shard"))
+    source = df.select(F.col(f"`{key}`").cast("long").alias("k"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t"))
+    # a key of any share of the rows spreads over shards
+    order = ["k", F.xxhash64("t").alias("h"), F.monotonically_increasing_id().alias("n")]
+    dealt = source.select("t", *order).repartitionByRange(shard_count(df), "k", "h", "n").sortWithinPartitions("k", "h", "t").select("k", "t", F.spark_partition_id().alias("shard"))
 
     def write(batches):
         encode, files, root = encoder(spec), *_open(folder)
-        tail, keys, lengths, shard = np.array([end_id], dtype="<u4").tobytes(), [], [], None
+        tail, keys, lengths, shard, nulls = np.array([end_id], dtype="<u4").tobytes(), array("q"), array("q"), None, 0
 
         def payload():
-            nonlocal shard
+            nonlocal shard, nulls
             for part in slices(batches):
                 shard = part.column(2)[0].as_py()
-                keys.extend(part.column(0).to_pylist())
+                nulls += part.column(0).null_count
+                keys.frombytes(part.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
                 found = [encode(x) + tail for x in part.column(1).to_pylist()]
                 lengths.extend(len(x) // 4 for x in found)
                 yield np.frombuffer(b"".join(found), dtype="<u4").astype(f"<u{width}").tobytes()
 
         own = f"{root}/part.{uuid.uuid4().hex}"
-        with files.open_output_stream(own) as out:
-            for x in payload():
-                out.write(x)
+        try:
+            with files.open_output_stream(own) as out:
+                for x in payload():
+                    out.write(x)
+            if shard is not None:
+                files.move(own, f"{root}/shard-{shard:06d}.ids")
+            else:
+                files.delete_file(own)
+        except BaseException:
+            if files.get_file_info(own).type != fs.FileType.NotFound:
+                files.delete_file(own)
+            raise
         if shard is None:
-            files.delete_file(own)
             return
-        files.move(own, f"{root}/shard-{shard:06d}.ids")
-        sizes = np.array(lengths, dtype=np.int64)
-        _put(files, f"{root}/shard-{shard:06d}.idx", iter([_index(keys, sizes, width)]))
-        known = [k for k in (keys[-1], next((k for k in keys if k is not None), None))]
+        known, sizes = np.frombuffer(keys, np.int64), np.frombuffer(lengths, np.int64)
+        _put(files, f"{root}/shard-{shard:06d}.keys", iter([known.astype("<i8").tobytes()]))
+        _put(files, f"{root}/shard-{shard:06d}.idx", iter([_index(known, nulls, sizes, width)]))
+        low, high = (int(known[nulls]), int(known[-1])) if nulls < len(known) else (None, None)
         yield pa.RecordBatch.from_pylist(
-            [{"shard": shard, "docs": len(keys), "ids": int(sizes.sum()), "low": known[1], "high": known[0]}],
+            [{"shard": shard, "docs": len(known), "ids": int(sizes.sum()), "low": low, "high": high}],
             schema=pa.schema([("shard", pa.int32()), ("docs", pa.int64()), ("ids", pa.int64()), ("low", pa.int64()), ("high", pa.int64())]),
         )
 
@@ -235,15 +309,24 @@ class TokenStore:
 
     def __init__(self, folder: str, manifest: list):
         self.folder, self.manifest = folder, sorted(manifest, key=lambda r: r["shard"])
+        self.keyed = [r for r in self.manifest if r["high"] is not None]
+        self.highs, self.open = [r["high"] for r in self.keyed], {}
 
     def get(self, key: int) -> np.ndarray | None:
-        for row in self.manifest:
-            if row["high"] is not None and row["low"] <= key <= row["high"]:
-                return Shard(self.folder, row["shard"]).get(key)
-        return None
+        """Ids of the first row with this key, None if there is none. One shard is asked, found by bisection."""
+        at = bisect_left(self.highs, key)
+        if at == len(self.keyed) or key < self.keyed[at]["low"]:
+            return None
+        shard = self.keyed[at]["shard"]
+        if shard not in self.open:
+            if len(self.open) >= 64:
+                self.open.clear()
+            self.open[shard] = Shard(self.folder, shard)
+        return self.open[shard].get(key)
 
     def read(self, spark) -> DataFrame:
-        """Every document, read back from the files: ``doc_id, start, n_tokens, ids_crc32``."""
+        """Every document, read back from the files through the perfect hash: ``doc_id, start, n_tokens, ids_crc32``.
+        ``start`` counts the ids of all documents before it; an empty store gives no rows."""
         folder, first, rows = self.folder, 0, []
         for row in self.manifest:
             rows.append((row["shard"], first))
@@ -255,16 +338,13 @@ class TokenStore:
         def read(batches):
             for batch in batches:
                 for shard, at in (rows[i] for i in batch.column(0).to_pylist()):
-                    for keys, lengths, ids in Shard(folder, shard).documents():
-                        ends = np.cumsum(lengths)
-                        wide = ids.astype("<u4")
-                        crc = [zlib.crc32(wide[e - n : e].tobytes()) for e, n in zip(ends, lengths, strict=True)]
-                        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(at + ends - lengths, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-                        at += int(ends[-1]) if len(ends) else 0
+                    for keys, starts, lengths, ids in Shard(folder, shard).documents():
+                        crc = [zlib.crc32(x.astype("<u4")) for x in ids]
+                        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(at + starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
         return tasks.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def build_store(df: DataFrame, tokenizer_path: str, folder: str | None = None, end_id: int = 2) -> TokenStore:
-    folder = folder or f"{shared_dir(df.sparkSession)}/tokens-{uuid.uuid4().hex}"
+    folder = qualified(df.sparkSession, folder or f"{shared_dir(df.sparkSession)}/tokens-{uuid.uuid4().hex}")
     return TokenStore(folder, write_store(df, folder, tokenizer_path, end_id).collect())

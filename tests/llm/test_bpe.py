@@ -78,7 +78,51 @@ def test_store(spark, tmp_path):
     assert token_store.build_store(docs.limit(0), PATH, str(tmp_path / "none")).read(spark).count() == 0
 
 
+def test_store_rows_of_one_key(spark, tmp_path, monkeypatch):
+    """A key, and no key, with most of the rows: spread over shards, each row read back through the hash."""
+    monkeypatch.setattr(token_store, "shard_count", lambda df: 6)
+    rows = [(7, f"text {k % 90}") for k in range(300)] + [(None, "none")] * 40 + [(k, "x " * 2000) for k in range(20)]
+    docs = spark.createDataFrame([(*r, "s", 0) for r in rows], "doc_id long, text string, k string, start int").repartition(5)
+    store = token_store.build_store(docs, PATH, str(tmp_path / "store"))
+    assert len(store.manifest) >= 5 and max(r["docs"] for r in store.manifest) < 150
+    found = sorted(store.read(spark).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in found] == [None] * 40 + sorted(k for k, _ in rows if k is not None)
+    assert [r.start for r in found] == np.cumsum([0, *(r.n_tokens for r in found)])[:-1].tolist()
+    expected = sorted((k or -1, zlib.crc32(np.array(LIBRARY.encode(t, add_special_tokens=False).ids + [2], "<u4").tobytes())) for k, t in rows)
+    assert sorted((r.doc_id or -1, r.ids_crc32) for r in found) == expected
+    first = token_store.Shard(store.folder, store.manifest[0]["shard"])
+    assert first.get(None).tolist() == LIBRARY.encode("none", add_special_tokens=False).ids + [2] and first.get(None, 40) is None
+    # a wrong index is noticed
+    path = f"{tmp_path}/store/shard-{store.manifest[-1]['shard']:06d}.idx"
+    raw = bytearray(open(path, "rb").read())
+    raw[-8:-4] = bytes(4)
+    open(path, "wb").write(raw)
+    with pytest.raises(Exception, match="lacks a key"):
+        store.read(spark).collect()
+
+
+def test_store_reads_little(spark, tmp_path, monkeypatch):
+    """A look-up reads as much of a large index as of a small one."""
+    read = []
+    monkeypatch.setattr(token_store.Shard, "_at", lambda self, start, size: read.append(size) or self.index.read_at(size, start))
+    most = []
+    for n in (50, 5000):
+        store = token_store.build_store(spark.range(n).selectExpr("id as doc_id", "'t' as text"), PATH, str(tmp_path / str(n)))
+        read.clear()
+        assert all(store.get(k) is not None for k in range(0, n, n // 50))
+        most.append(sum(read) - token_store.HEADER * len(store.open))
+    assert most[1] < 2 * most[0] + 1000
+
+
+def test_folder_without_scheme(spark):
+    from lexispark.llm.common import qualified
+
+    assert qualified(spark, "/tmp/x") == "file:///tmp/x" and qualified(spark, "file:///a") == "file:///a"
+
+
 def test_perfect_hash():
     keys = np.random.default_rng(1).choice(1 << 40, 5000, replace=False).astype(np.uint64)
-    slots = token_store.PerfectHash.build(keys).slots(keys)
+    turn = np.zeros(len(keys), np.uint64)
+    slots = token_store.PerfectHash.build(keys, turn).slots(keys, turn)
     assert sorted(slots) == list(range(len(keys)))
+    assert token_store.turns(np.array([0, 0, 0, 4, 4, 5]), 2).tolist() == [1 << 62, (1 << 62) + 1, 0, 0, 1, 0]
