@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, fold_py, max_distance, tokens, tokens_py
@@ -31,12 +31,14 @@ class Scoring:
 
 @dataclass(frozen=True)
 class Index:
-    """``postings (id, field, term, tf, len)``, ``vocabulary (field, term, df)``, ``stats (field, avg_len)``, ``size (n)``."""
+    """``postings (id, field, term, tf, len)``, ``vocabulary (field, term, df)``, ``stats (field, avg_len)``, ``size (n)``;
+    an index that is not saved also has the ``places`` of terms, a row each, so that a search counts only its own terms."""
 
     postings: DataFrame
     vocabulary: DataFrame
     stats: DataFrame
     size: DataFrame
+    places: DataFrame | None = None
 
     def save(self, path: str) -> "Index":
         """Written sorted by term, so that scans of exact and prefix terms skip row groups."""
@@ -44,6 +46,10 @@ class Index:
         for name in ("postings", "vocabulary", "stats", "size"):
             frame = getattr(self, name)
             (frame.repartitionByRange("term").sortWithinPartitions("term") if "term" in frame.columns else frame).write.mode("overwrite").parquet(f"{path}/{name}")
+        return Index.load(spark, path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> "Index":
         return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "vocabulary", "stats", "size")))
 
 
@@ -56,9 +62,13 @@ def field_tokens(base: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
 
 def build_index(base: DataFrame, id_col: str, fields: list[str]) -> Index:
     rows = field_tokens(base, id_col, fields)
-    terms = rows.select("id", "field", "len", F.explode("raw").alias("term")).withColumn("term", fold(F.col("term"))).where("term <> ''")
-    postings = terms.groupBy("id", "field", "term", "len").agg(F.count("*").alias("tf"))
-    return Index(postings, postings.groupBy("field", "term").agg(F.count("*").alias("df")), rows.groupBy("field").agg(F.avg("len").alias("avg_len")), base.agg(F.count("*").alias("n")))
+    # folding neither makes nor takes separators, so whole texts are folded and then cut
+    pairs = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("v")) for f in fields))
+    own = base.select(F.col(id_col).alias("id"), F.explode(pairs).alias("p")).select("id", "p.field", tokens(fold(F.col("p.v"))).alias("terms"), F.size(F.array_distinct(tokens(F.col("p.v")))).cast("long").alias("len"))
+    places = own.select("id", "field", "len", F.explode("terms").alias("term")).where("term <> ''")
+    postings = places.groupBy("id", "field", "term", "len").agg(F.count("*").alias("tf"))
+    vocabulary = own.select("field", F.explode(F.array_distinct("terms")).alias("term")).where("term <> ''").groupBy("field", "term").agg(F.count("*").alias("df"))
+    return Index(postings, vocabulary, rows.groupBy("field").agg(F.avg("len").alias("avg_len")), base.agg(F.count("*").alias("n")), places)
 
 
 def query_terms(query: str, scoring: Scoring = Scoring()) -> list[tuple[str, int]]:
@@ -83,7 +93,11 @@ def expand(vocabulary: DataFrame, terms: list[tuple[str, int]], scoring: Scoring
 
 def score(index: Index, terms: list[tuple[str, int]], scoring: Scoring = Scoring()) -> DataFrame:
     """``id, score``. Only matched vocabulary (small) is broadcast, by Spark's own size test."""
-    hits = index.postings.join(expand(index.vocabulary, terms, scoring), ["field", "term"])
+    asked = expand(index.vocabulary, terms, scoring)
+    if index.places is None:
+        hits = index.postings.join(asked, ["field", "term"])
+    else:  # what the query does not ask for ends before the shuffle
+        hits = index.places.join(asked, ["field", "term"]).groupBy("id", "field", "term", "len", "df", "qi", "w").agg(F.count("*").alias("tf"))
     hits = hits.join(F.broadcast(index.stats), "field").crossJoin(F.broadcast(index.size))  # a row per field, and one row
     idf = F.log(F.lit(1.0) + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.lit(scoring.d) + F.col("tf") * (scoring.k + 1) / (F.col("tf") + scoring.k * (1 - scoring.b + scoring.b * F.col("len") / F.col("avg_len")))

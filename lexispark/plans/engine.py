@@ -13,10 +13,25 @@ from ..operators import search as S
 from ..sources import tsv
 from ..sources.registry import DATASETS
 
+def bare(value):
+    """Without absent (null) columns, at every depth."""
+    if isinstance(value, dict):
+        return {k: bare(v) for k, v in value.items() if v is not None}
+    return [bare(v) for v in value] if isinstance(value, list) else value
+
+
+def compact(value) -> str:
+    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+
+
 CHILDREN = ("presentations", "compositions", "avis_smr", "avis_asmr", "conditions")
 GLOBAL = (("specialite", "specialites"), ("presentation", "presentations"), ("composition", "compositions"))
 
 
+def rank_order() -> list:
+    return [F.desc("_priority"), F.desc(F.round("_score", 6)), "_pos"]
+
+
 @dataclass(frozen=True)
 class Page:
     data: list[dict]
@@ -25,8 +40,7 @@ class Page:
 
     def json(self) -> str:
         """Absent columns are left out, empty ones stay."""
-        data = [{k: v for k, v in row.items() if v is not None} for row in self.data]
-        return json.dumps({"data": data, "pagination": self.pagination, "metadata": self.metadata}, ensure_ascii=False, separators=(",", ":"))
+        return compact({"data": bare(self.data), "pagination": self.pagination, "metadata": self.metadata})
 
 
 def substances(compositions: DataFrame) -> DataFrame:
@@ -37,7 +51,7 @@ def substances(compositions: DataFrame) -> DataFrame:
 
 
 class Engine:
-    """An immutable snapshot; load a new one to refresh."""
+    """A snapshot of a folder; ``reload`` swaps a new one in."""
 
     def __init__(self, spark: SparkSession, folder: str, scoring: S.Scoring = S.Scoring()):
         self.spark, self.folder, self.scoring = spark, folder, scoring
@@ -45,6 +59,11 @@ class Engine:
         self.tables["substances"] = substances(self.tables["compositions"])
         self.indexes: dict[str, S.Index] = {}
 
+    def reload(self) -> "Engine":
+        """Read the folder anew and swap it in at once; if that fails, the old snapshot stays. Saved indexes go."""
+        self.__dict__.update(Engine(self.spark, self.folder, self.scoring).__dict__)
+        return self
+
     def table(self, name: str) -> DataFrame:
         if name not in self.tables:
             raise KeyError(f"no dataset {name}")
@@ -66,8 +85,12 @@ class Engine:
         shown = R.page(rows, order, number, limit).drop("_pos", "_priority", "_score", "_src")
         return Page([r.asDict(recursive=True) for r in shown.collect()], R.page_info(rows, number, limit).first().asDict(), self.metadata())
 
+    def rows(self, name: str, q: str = "", page: int = 1, limit: int = 100) -> DataFrame:
+        """A page of a dataset as a table."""
+        return R.page(self.search(name, q), rank_order(), page, limit).drop("_pos", "_priority", "_score")
+
     def list(self, name: str, q: str = "", page: int = 1, limit: int = 100) -> Page:
-        return self._page(self.search(name, q), [F.desc("_priority"), F.desc(F.round("_score", 6)), "_pos"], page, limit)
+        return self._page(self.search(name, q), rank_order(), page, limit)
 
     def details(self) -> DataFrame:
         """Every drug with nested children and the members of its first generic group; filter it by ``cis``."""
@@ -79,14 +102,24 @@ class Engine:
     def detail(self, cis: str) -> dict | None:
         """One drug, its first row in file order; None if there is none."""
         found = R.first_match(self.details(), F.col("cis") == cis, ["_pos"]).drop("_pos").first()
-        return None if found is None else {k: v for k, v in found.asDict(recursive=True).items() if v is not None or k == "generiques"} | {"metadata": self.metadata()}
+        if found is None:
+            return None
+        row = found.asDict(recursive=True)
+        return bare(row) | {"generiques": bare(row["generiques"]), "metadata": self.metadata()}
+
+    def detail_json(self, cis: str) -> str | None:
+        """Absent columns are left out at every depth; a drug without a group has ``"generiques":null``."""
+        return None if (found := self.detail(cis)) is None else compact(found)
 
     def search_all(self, q: str, page: int = 1, limit: int = 50) -> Page:
         """Three searches, one after the other, each in its own rank order."""
         if not q:
             raise ValueError("a query is needed")
-        rows = R.tagged_union([(tag, self.search(name, q)) for tag, name in GLOBAL])
-        return self._page(rows, ["_src", F.desc("_priority"), F.desc(F.round("_score", 6)), "_pos"], page, limit)
+        return self._page(self.found(q), ["_src", *rank_order()], page, limit)
+
+    def found(self, q: str) -> DataFrame:
+        """Hits of the three searches with their tag, unordered."""
+        return R.tagged_union([(tag, self.search(name, q)) for tag, name in GLOBAL])
 
     def health(self, pretty: bool = False) -> str:
         return json.dumps({"status": "ok", **self.metadata()}, indent=2 if pretty else None, ensure_ascii=False)

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .registry import DATASETS
+from .tsv import C1
 
 #: Hours after which a file is looked at again, and seconds that a transfer may take.
 FRESH_HOURS, TIMEOUT = 24, 30
@@ -57,13 +58,15 @@ def save_manifest(folder: Path, manifest: dict) -> None:
 
 
 def normalised(raw: bytes) -> tuple[bytes, str]:
-    """UTF-8 bytes and the charset found."""
+    """UTF-8 bytes and the charset found; as ``tsv.decode`` reads them, but for byte-order marks, which stay in UTF-8."""
+    if raw[:2] in (b"\xff\xfe", b"\xfe\xff") and len(raw) % 2 == 0:
+        return raw.decode("utf-16", "replace").encode(), "utf-16"
     try:
         raw.decode("utf-8")
         return raw, "utf-8"
     except UnicodeDecodeError:
         name = "windows-1252" if any(0x80 <= b < 0xA0 for b in raw) else "iso-8859-1"
-        return raw.decode(name, "replace").encode(), name
+        return raw.decode("latin-1").translate({b: c for b, c in C1.items()}).encode(), name
 
 
 def fetch(source: str, name: str) -> bytes:
@@ -96,6 +99,7 @@ def refresh(source: str, target: str, now: datetime | None = None, get: Callable
             entry, found = manifest.get(name, {}), hashlib.sha256(raw).hexdigest()
             if entry.get("hash") == found and (folder / name).exists():
                 manifest[name], status[name] = entry | {"checkedAt": now.isoformat()}, "same"
+                save_manifest(folder, manifest)
                 continue
             text, charset = normalised(raw)
             own = folder / (name + ".new")
@@ -103,10 +107,10 @@ def refresh(source: str, target: str, now: datetime | None = None, get: Callable
             own.replace(folder / name)
             stamp = now.isoformat()
             manifest[name], status[name] = {"downloadedAt": stamp, "checkedAt": stamp, "hash": found, "source": f"{source}/{name}", "encoding": charset}, "written"
+            save_manifest(folder, manifest)  # a crash later forgets no finished file
         except Exception:
             log.exception("%s keeps its local version", name)
             status[name] = "failed"
-    save_manifest(folder, manifest)
     return status
 
 

@@ -14,14 +14,20 @@ C1 = {b: bytes([b]).decode("cp1252") for b in range(0x80, 0xA0) if b not in (0x8
 
 
 def decode(content: Column) -> Column:
-    """Text of bytes: UTF-8 if valid, else Latin-1 with windows-1252 signs; a byte-order mark goes."""
+    """Text of bytes: UTF-16 if its mark is there, UTF-8 if valid, else Latin-1 with windows-1252 signs; marks go."""
     latin = F.translate(F.decode(content, "ISO-8859-1"), "".join(map(chr, C1)), "".join(C1.values()))
-    text = F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(latin)
+    text = F.when(_utf16(content), F.decode(content, "UTF-16")).when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(latin)
     return F.regexp_replace(text, "^﻿", "")
 
 
+def _utf16(content: Column) -> Column:
+    return F.hex(F.substring(content, 1, 2)).isin("FFFE", "FEFF") & (F.octet_length(content) % 2 == 0)
+
+
 def encoding_name(content: Column) -> Column:
-    return F.when(F.is_valid_utf8(content.cast("string")), F.lit("utf-8")).otherwise(F.lit("windows-1252"))
+    """The charset as ``ingest.normalised`` names it."""
+    eight = F.when(F.decode(content, "ISO-8859-1").rlike("[\u0080-\u009F]"), "windows-1252").otherwise("iso-8859-1")
+    return F.when(_utf16(content), "utf-16").when(F.is_valid_utf8(content.cast("string")), "utf-8").otherwise(eight)
 
 
 def parse_lines(lines: DataFrame, dataset: Dataset, line: str = "line", pos: str = "_pos") -> DataFrame:

@@ -4,11 +4,13 @@ import json
 from datetime import UTC, datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexispark.operators import relational as R
 from lexispark.plans.engine import Engine
 from lexispark.sources import ingest, tsv
 from lexispark.sources.registry import DATASETS
+from lexispark.sources.shared import load_snapshot, save_snapshot
 from lexispark.streaming.refresh import refresh
 
 DRUGS = [
@@ -95,6 +97,66 @@ def test_pages(engine):
         engine.list("specialites", page=0)
 
 
+@pytest.mark.parametrize("descending", [False, True])
+def test_deep_pages(spark, monkeypatch, descending):
+    rows = spark.range(1000).selectExpr("id % 37 as k", "id", "repeat('x', 5) as __row")
+    order = [F.desc("k") if descending else F.col("k"), "id"]
+    whole = [r.id for r in rows.orderBy(*order).collect()]
+    monkeypatch.setattr(R, "TOP_ROWS", 0)
+    for number, limit in ((1, 7), (20, 7), (3, 400), (143, 7), (1, 5000)):
+        page = R.page(rows, order, number, limit)
+        assert page.columns == rows.columns
+        assert [r.id for r in page.collect()] == whole[(number - 1) * limit : number * limit]
+    assert R.page(rows, order, 40_000_001, 25).count() == 0 and R.page(rows.limit(0), order, 1, 5).count() == 0
+
+
+def test_detail_json(engine):
+    found = json.loads(engine.detail_json("60234100"))
+    assert found["generiques"] is None and found["presentations"][0] == {"cis": "60234100", "cip7": "1111111", "libelle": "plaquette"}
+    assert engine.detail_json("00000000") is None
+
+
+def test_reload(spark, tmp_path):
+    (tmp_path / "CIS_bdpm.txt").write_text("1\tone")
+    engine = Engine(spark, str(tmp_path))
+    assert engine.list("specialites").pagination["total"] == 1
+    (tmp_path / "CIS_bdpm.txt").write_text("1\tone\n2\ttwo")
+    assert engine.reload().list("specialites").pagination["total"] == 2
+
+
+def test_charsets(spark):
+    raw = ["déjà – vu".encode(x) for x in ("utf-8", "utf-16", "cp1252")] + ["déjà".encode("latin-1"), b"\x81\xe9", b""]
+    rows = spark.createDataFrame([(k, bytearray(x)) for k, x in enumerate(raw)], "k int, content binary")
+    found = {r.k: (r.t, r.c) for r in rows.select("k", tsv.decode(F.col("content")).alias("t"), tsv.encoding_name(F.col("content")).alias("c")).collect()}
+    assert found == {0: ("déjà – vu", "utf-8"), 1: ("déjà – vu", "utf-16"), 2: ("déjà – vu", "windows-1252"), 3: ("déjà", "iso-8859-1"), 4: ("\x81é", "windows-1252"), 5: ("", "utf-8")}
+    for k, x in enumerate(raw):
+        text, name = ingest.normalised(x)
+        assert (text.decode(), name) == found[k]
+
+
+def test_manifest_outlives_a_crash(tmp_path):
+    class Stop(BaseException):
+        pass
+
+    def get(source, name):
+        if name == "CIS_COMPO_bdpm.txt":
+            raise Stop
+        return b"x"
+
+    with pytest.raises(Stop):
+        ingest.refresh("s", str(tmp_path), datetime(2024, 1, 1, tzinfo=UTC), get)
+    assert set(ingest.load_manifest(tmp_path)) == {"CIS_bdpm.txt", "CIS_CIP_bdpm.txt"}
+
+
+def test_snapshots(spark, tmp_path):
+    folder = f"file://{tmp_path}/s"
+    with pytest.raises(FileNotFoundError):
+        load_snapshot(spark, folder)
+    for n in (3, 5):
+        save_snapshot(spark.range(n), folder)
+        assert load_snapshot(spark, folder).count() == n
+
+
 def test_ingest(tmp_path):
     source, target, now = tmp_path / "s", tmp_path / "t", datetime(2024, 1, 1, tzinfo=UTC)
     source.mkdir()
