@@ -9,14 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, slices
+from .common import BROADCAST_ROWS, map_arrow, slices
 
 #: n-gram sizes (bytes of lower-cased, space-padded text), hashed into 2**BITS cells.
 SIZES, BITS = (4, 5, 6), 20
 #: Expected bound on labelled rows the classifier is fitted on, chosen by a hash of the key, each class by itself.
 MAX_ROWS_PER_CLASS = 2000
-#: Cells kept by the fit, the most telling ones first.
-MAX_FEATURES = 4096
+#: The penalty of a weight's size beside the mean loss of a row, and rounds and steps of the fit.
+PENALTY, ROUNDS, STEPS = 1e-3, 8, 120
 
 
 def cells(text: str) -> np.ndarray:
@@ -46,46 +46,83 @@ class ToxicityModel:
         return float(self.weight[hits].sum(dtype=np.float64)) + self.bias
 
 
-def fit(texts: list[str], labels: np.ndarray, rate: float, steps: int = 150, penalty: float = 2e-3) -> ToxicityModel:
-    """``rate``: share of class 1 among all labelled rows, to which the bias is set."""
+def ratios(seen: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Log-count ratios of cells, of ``seen`` (classes x cells: rows that hold a cell) and rows of each class."""
+    share = (seen + 1.0) / (n + 2.0)[:, None]
+    return np.log(share[1] / share[0])
+
+
+def fit(texts: list[str], labels: np.ndarray, rate: float, penalty: float = PENALTY) -> ToxicityModel:
+    """Logistic regression over all cells, each scaled by its log-count ratio, with a penalty on absolute weights, which
+    leaves most at zero; the bias is free. ``rate``: share of class 1 among all labelled rows, to which rows are weighted.
+
+    Each round finds the cells whose slope exceeds the penalty among all cells and goes on with these and the ones in use;
+    cells outside them would stay at zero. It ends when no cell joins."""
     weight, prior = np.zeros(1 << BITS, np.float32), float(np.log(max(rate, 1e-6) / max(1 - rate, 1e-6)))
     n = np.array([(labels == 0).sum(), (labels == 1).sum()])
     if min(n) == 0:
         return ToxicityModel(weight, prior if n.sum() else -5.0)
-    seen = np.zeros((2, 1 << BITS), np.int32)
-    docs = [np.unique(cells(t)) for t in texts]
-    for found, y in zip(docs, labels, strict=True):
-        seen[int(y), found] += 1
-    share = (seen + 1.0) / (n + 2.0)[:, None]
-    ratio = np.log(share[1] / share[0])
-    spread = np.sqrt(1 / (seen[0] + 1.0) + 1 / (seen[1] + 1.0))
-    telling = np.abs(ratio) / spread
-    telling[seen.sum(axis=0) < 3] = 0
-    used = np.sort(np.argsort(-telling, kind="stable")[:MAX_FEATURES])
-    used = used[telling[used] > 4]
-    place = np.full(1 << BITS, -1, np.int32)
-    place[used] = np.arange(len(used))
-    rows = [p[p >= 0] for p in (place[d] for d in docs)]
-    which, row = np.concatenate(rows) if rows else np.zeros(0, int), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    value = ratio[used][which] if len(used) else np.zeros(0)
-    w, b, y = np.zeros(len(used)), prior, labels.astype(float)
-    share_of = np.where(y == 1, rate / n[1], (1 - rate) / n[0]) if 0 < rate < 1 else np.full(len(y), 1 / len(y))
-    m, v, t = np.zeros(len(used) + 1), np.zeros(len(used) + 1), 0
-    for t in range(1, steps + 1):  # Adam on the whole sample: logistic loss, ridge penalty
-        margin = np.bincount(row, value * w[which], minlength=len(y)) + b if len(used) else np.full(len(y), b)
-        error = (1 / (1 + np.exp(-np.clip(margin, -40, 40))) - y) * share_of
-        grad = np.append(np.bincount(which, error[row] * value, minlength=len(used)) + penalty * w / max(len(used), 1) * 10, error.sum())
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
-        w, b = w - step[:-1], b - step[-1]
-    weight[used] = (w * ratio[used]).astype(np.float32)
+    seen, held = np.zeros((2, 1 << BITS), np.int32), []
+    for t, y in zip(texts, labels, strict=True):
+        held.append(np.unique(cells(t)))
+        seen[int(y), held[-1]] += 1
+    ratio, y = ratios(seen, n), labels.astype(float)
+    share = np.where(y == 1, rate / n[1], (1 - rate) / n[0]) if 0 < rate < 1 else np.full(len(y), 1 / len(y))
+    found, sizes = np.concatenate(held), np.array([len(d) for d in held])
+    del held
+
+    def error(margin: np.ndarray) -> np.ndarray:
+        return (1 / (1 + np.exp(-np.clip(margin, -40, 40))) - y) * share
+
+    def slopes(wrong: np.ndarray) -> np.ndarray:
+        out, at = np.zeros(1 << BITS), 0
+        for k in range(0, len(sizes), 256):
+            size = sizes[k : k + 256]
+            out += np.bincount(found[at : at + size.sum()], np.repeat(wrong[k : k + 256], size), minlength=1 << BITS)
+            at += size.sum()
+        return out * ratio
+
+    w, b, margin, used = np.zeros(1 << BITS), prior, np.full(len(y), prior), np.zeros(1 << BITS, bool)
+    for _ in range(ROUNDS):
+        joining = (np.abs(slopes(error(margin))) > penalty) & ~used
+        if not joining.any():
+            break
+        used |= joining
+        active = np.flatnonzero(used)
+        place = np.cumsum(used) - 1
+        here = used[found]
+        row, cell = np.repeat(np.arange(len(y)), sizes)[here], place[found[here]]
+        scale, own = np.append(ratio[active], 1.0), np.append(w[active], b)
+
+        def outward(x: np.ndarray) -> np.ndarray:
+            return np.bincount(row, (x[:-1] * scale[:-1])[cell], minlength=len(y)) + x[-1]
+
+        def inward(x: np.ndarray) -> np.ndarray:
+            return np.append(np.bincount(cell, x[row], minlength=len(active)) * scale[:-1], x.sum())
+
+        turn = np.abs(scale) / np.linalg.norm(scale)
+        for _ in range(30):  # the loss bends by a quarter of the largest eigenvalue at most
+            bent = inward(share * outward(turn))
+            turn = bent / np.linalg.norm(bent)
+        step, ahead, pace = 1 / (0.25 * 1.05 * np.linalg.norm(bent)), own, 1.0
+        for _ in range(STEPS):  # proximal descent with momentum, which starts anew where it leads back
+            new = ahead - step * inward(error(outward(ahead)))
+            new[:-1] = np.sign(new[:-1]) * np.maximum(np.abs(new[:-1]) - step * penalty, 0)
+            if (ahead - new) @ (new - own) > 0:
+                pace = 1.0
+            faster = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
+            ahead, own, pace = new + (pace - 1) / faster * (new - own), new, faster
+        margin, own, b = outward(own), own[:-1], float(own[-1])
+        w[active] = own
+    weight[:] = w * ratio
     return ToxicityModel(weight, float(b))
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS_PER_CLASS) -> ToxicityModel:
     """Fit on documents with a 0/1 label; other labels and nulls are left out, repeated labels count once. At most
     about ``max_rows`` keys of each class, by a hash of the key, are drawn from the labels alone; only their texts are
-    fetched, by a broadcast of the drawn keys, and go to one task. Texts of other documents are not moved."""
+    fetched, by a broadcast of the drawn keys, and go to one task. Texts of other documents are not moved. Null texts
+    count as empty; tables without labels, or with one class only, give a constant score."""
     known = labels.select(F.col(key).alias("__id"), F.col(label).cast("int").alias("label")).where("label in (0, 1) and __id is not null").distinct()
     counts = {int(r[0]): r[1] for r in known.groupBy("label").count().collect()}
     total = sum(counts.values())
@@ -93,7 +130,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     limits = {y: int(scale * min(1.0, max_rows / max(counts.get(y, 0), 1))) for y in (0, 1)}
     draw = F.pmod(F.xxhash64(F.col("__id").cast("string"), F.lit("draw")), F.lit(scale))
     drawn = known.where(draw <= F.when(F.col("label") == 1, F.lit(limits[1])).otherwise(F.lit(limits[0])))
-    sample = docs.select(F.col(key), F.col(text).cast("string").alias("text")).join(F.broadcast(drawn), F.col(key) == F.col("__id")).select("text", "label")
+    sent = F.broadcast(drawn) if drawn.count() <= BROADCAST_ROWS else drawn
+    sample = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("string").alias("text")).join(sent, F.col("k") == F.col("__id")).select("text", "label")
     rate = counts.get(1, 0) / total if total else 0.0
 
     def learn(batches):
@@ -102,15 +140,13 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             texts += [x or "" for x in part.column(0).to_pylist()]
             labels += part.column(1).to_pylist()
         model = fit(texts, np.array(labels, dtype=int), rate)
-        used = np.flatnonzero(model.weight)
-        yield pa.RecordBatch.from_pydict({"cell": [used.tolist()], "weight": [model.weight[used].astype(float).tolist()], "bias": [model.bias]})
+        yield pa.RecordBatch.from_pydict({"weight": [model.weight.astype("<f4").tobytes()], "bias": [model.bias]})
 
     # one task sees the bounded sample, in a fixed order
-    found = sample.repartition(1).sortWithinPartitions("label", F.xxhash64("text"), "text").mapInArrow(learn, "cell array<long>, weight array<double>, bias double").collect()
-    weight = np.zeros(1 << BITS, np.float32)
-    if found:
-        weight[np.array(found[0]["cell"], dtype=int)] = found[0]["weight"]
-    return ToxicityModel(weight, found[0]["bias"] if found else -5.0)
+    found = sample.repartition(1).sortWithinPartitions("label", F.xxhash64("text"), "text").mapInArrow(learn, "weight binary, bias double").collect()
+    if not found:
+        return ToxicityModel(np.zeros(1 << BITS, np.float32), -5.0)
+    return ToxicityModel(np.frombuffer(found[0]["weight"], "<f4").astype(np.float32), found[0]["bias"])
 
 
 def score(df: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -118,21 +154,19 @@ def score(df: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str =
 
     Rows map one to one (repeated rows stay), other columns are never read, an empty table gives no rows.
     """
-    cell, weight, bias = np.flatnonzero(model.weight), model.weight[model.weight != 0], model.bias
-    source = df.select(F.col(key), F.col(text).cast("string").alias("__text"))
+    weight, bias = df.sparkSession.sparkContext.broadcast(model.weight), model.bias  # 2**BITS numbers
+    source = df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("string").alias("t"))
 
     def make():
-        dense = np.zeros(1 << BITS, np.float32)
-        dense[cell] = weight
-        own = ToxicityModel(dense, bias)
+        own = ToxicityModel(weight.value, bias)
 
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
             margins = np.array([own.margin(x or "") for x in batch.column(1).to_pylist()])
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(margins, -40, 40))))], [key, "score"])
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(margins, -40, 40))))], ["k", "score"])
 
         return apply
 
-    return map_arrow(source, make, f"`{key}` {source.dtypes[0][1]}, score double")
+    return map_arrow(source, make, f"k {source.dtypes[0][1]}, score double").toDF(key, "score")
 
 
 def held_out(key: str = "doc_id", fold: int = 0, folds: int = 5):

@@ -3,7 +3,9 @@
 import hashlib
 import random
 import re
+from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,6 +35,73 @@ def test_language_mixture(spark):
     assert langid.language_id(docs.limit(0)).count() == 0
 
 
+def test_language_sets_against_all_sets(spark):
+    """The chosen set has the best penalised likelihood of all sets, each by EM until nothing moves."""
+    draw = random.Random(5)
+    rows = [(k, speech(lang, 60, draw), lang) for k, lang in enumerate(["en", "fr", "de"] * 20)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    n = len(model.languages)
+    texts = [" ".join(speech(lang, draw.choice([3, 10, 60]), draw) for lang in draw.sample(["en", "fr", "de"], draw.randint(1, 3))) for _ in range(60)]
+    for text in texts + [" ".join(texts)]:
+        found, counts = langid.grams(text)
+        price = langid.PENALTY * 0.5 * np.log(max(counts.sum(), 2))
+        best = {}
+        for size in range(1, n + 1):
+            for own in combinations(range(n), size):
+                p, share = model.probability[found][:, list(own)], np.full(size, 1 / size)
+                for _ in range(2000):
+                    weighed = p * share
+                    share = counts @ (weighed / weighed.sum(axis=1, keepdims=True)) / counts.sum()
+                best[own] = float(counts @ np.log(p @ share)) - price * (size - 1)
+        _, value, bound = langid.mixture(model.probability[found], counts, enough=-np.inf)
+        assert value <= best[tuple(range(n))] + price * (n - 1) + 1e-6 <= bound + 2e-6
+        top = max(best, key=best.get)
+        if sorted(best.values())[-1] - sorted(best.values())[-2] > 2 * langid.CLOSE:
+            assert set(model.proportions(text)) == {model.languages[k] for k in top}
+
+
+def test_language_odd_names(spark):
+    draw = random.Random(1)
+    rows = [(k, speech("en" if k % 2 else "fr", 30, draw), "en" if k % 2 else "fr", 7, "x") for k in range(20)] + [(50, speech("de", 3, draw) * 20_000, None, 7, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int, c0 string")
+    found = langid.predict(docs, langid.train(docs), keep=("score", "c0", "text", "languages"))
+    assert found.columns == ["doc_id", "c0", "text", "lang_pred", "score", "languages"]
+    assert {r.doc_id: r.lang_pred for r in found.collect()}[3] == "en"
+
+
+def test_toxicity_fit_is_best():
+    """Against plain proximal descent over all cells, and the conditions of the best fit: no cell was cut."""
+    draw = random.Random(4)
+    texts = [speech("en", 12, draw) + (" you idiot scum" if k % 3 == 0 else "") for k in range(90)]
+    labels = np.array([int(k % 3 == 0) for k in range(90)])
+    x = np.zeros((90, 1 << toxicity.BITS), bool)
+    for k, t in enumerate(texts):
+        x[k, toxicity.cells(t)] = True
+    seen = np.array([x[labels == 0].sum(axis=0), x[labels == 1].sum(axis=0)])
+    ratio, used = toxicity.ratios(seen, np.array([60, 30])), np.flatnonzero(x.any(axis=0))
+    z, penalty = x[:, used] * ratio[used], 5e-3
+    share = np.where(labels == 1, 1 / 3 / 30, 2 / 3 / 60)
+    sigmoid = lambda m: 1 / (1 + np.exp(-m))
+    loss = lambda w, b: float(share @ np.log1p(np.exp(np.where(labels == 1, -1, 1) * (z @ w + b)))) + penalty * np.abs(w).sum()
+    w, b, step = np.zeros(len(used)), float(np.log(0.5)), 1.0 / (0.25 * np.linalg.norm(np.sqrt(share)[:, None] * np.hstack([z, np.ones((90, 1))]), 2) ** 2)
+    for _ in range(4000):
+        wrong = (sigmoid(z @ w + b) - labels) * share
+        w, b = w - step * (z.T @ wrong), b - step * wrong.sum()
+        w = np.sign(w) * np.maximum(np.abs(w) - step * penalty, 0)
+    model = toxicity.fit(texts, labels, 1 / 3, penalty)
+    own = np.divide(model.weight[used], ratio[used], out=np.zeros(len(used)), where=ratio[used] != 0)
+    assert loss(own, model.bias) <= loss(w, b) * 1.02
+    assert np.allclose([model.margin(t) for t in texts], z @ own + model.bias, atol=1e-3)
+    plain, mine = sigmoid(z @ w + b), sigmoid(z @ own + model.bias)
+    assert np.abs(plain - mine).max() < 0.05
+
+
+def test_toxicity_long_and_odd_texts():
+    texts = ["idiot " * 30_000, "fine " * 30_000, "", "é\U0001f600\n\t"] * 4
+    model = toxicity.fit(texts, np.array([1, 0, 0, 0] * 4), 0.25)
+    assert model.margin(texts[0]) > 0 > model.margin(texts[1]) and model.margin("") < 0
+
+
 def test_toxicity(spark):
     draw = random.Random(2)
     rows = [(k, speech("en", 80, draw) + (" you idiot scum " if k % 4 == 0 else " ") + speech("en", 80, draw)) for k in range(200)]
@@ -86,19 +155,47 @@ def test_chats(spark):
 
 
 def test_pipeline(spark, tmp_path):
+    """Each stage against a plain version of its own on its own input."""
     import corpus_pipeline as P
+    from test_groups import brute_lines, classes, plain_tiles
+
+    from lexispark.llm import ngram_join
 
     draw = random.Random(3)
     texts = ["\n".join(speech("en", 60, random.Random(k * 10 + i)) for i in range(4)) for k in range(12)]
     near = texts[0].replace(" house", " home", 2)
     item = speech("en", 30, draw)
-    rows = [(k, t) for k, t in enumerate(texts)] + [(20, texts[1]), (21, near), (22, texts[2] + "\n" + item), (23, None), (24, "123"), (25, speech("de", 90, draw))]
-    spark.createDataFrame([(k, t, None if k == 25 else "en" if k != 5 else "de", "s", len(t or "")) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = [(k, t) for k, t in enumerate(texts)] + [(20, texts[1]), (21, near), (22, texts[2] + "\n" + item), (23, None), (24, "123"), (25, speech("de", 90, draw)), (26, ""), (27, speech("fr", 90, draw)), (27, speech("fr", 90, draw))]
+    lang = {25: None, 5: "de", 27: "fr"}
+    docs = spark.createDataFrame([(k, t, lang.get(k, "de" if t and " und " in t else "en"), "s", len(t or "")) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.union(spark.createDataFrame([(100 + k, speech("de", 60, draw), "de", "s", 0) for k in range(12)], docs.schema))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    stages, now = dict(P.STAGES), spark.read.parquet(str(tmp_path / "documents.parquet"))
+    plain = lambda df: sorted((r.doc_id, r.text) for r in df.collect())
+    named = stages["language ID"](spark, now, str(tmp_path))
+    assert plain(named) == sorted((r.doc_id, r.text) for r in now.collect() if r.text and any(map(str.isalpha, r.text)))
+    assert {r.doc_id: r.lang for r in named.collect()}[5] == "en" and {r.doc_id: r.lang for r in named.collect()}[25] == "de"
+    lines = stages["line dedup"](spark, named, str(tmp_path))
+    own = [(r.doc_id, r.text) for r in named.orderBy("doc_id", F.xxhash64("text")).collect()]
+    cut = brute_lines([((d, k), t) for k, (d, t) in enumerate(own)])
+    assert plain(lines) == sorted((d, cut[d, k]) for k, (d, _) in enumerate(own) if cut[d, k])
+    assert all(r.n_chars == len(r.text) for r in lines.collect())
+    for source in (lines, now.where("text is not null")):  # copies whole and cut
+        copies = stages["n-gram Jaccard join"](spark, source, str(tmp_path))
+        held = sorted((r.doc_id, r.text) for r in source.collect())
+        sets = [set(ngram_join.shingles(t, 5).tolist()) for _, t in held]
+        links = [(i, j) for i, j in combinations(range(len(held)), 2) if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+        group = classes(len(held), links)
+        assert plain(copies) == [x for k, x in enumerate(held) if group[k] == k]
+    clean = stages["benchmark decontamination"](spark, copies, str(tmp_path))
+    words = re.sub("[^a-z0-9]+", " ", item.lower()).split()
+    leaks = lambda t: 100 * plain_tiles(words, re.sub("[^a-z0-9]+", " ", t.lower()).split(), 5) >= 80 * len(words)
+    assert plain(clean) == [x for x in plain(copies) if not leaks(x[1])] and len(plain(clean)) < len(plain(copies))
     found = {r.doc_id: r for r in P.run(spark, str(tmp_path)).collect()}
-    assert not {20, 22, 23, 24} & set(found) and {1, 2, 3, 4, 5, 6, 25} <= set(found)
+    assert not {20, 22, 23, 24, 26} & set(found) and {1, 2, 3, 4, 5, 6, 25, 27} <= set(found)
     assert all(r.round_trip and r.n_tokens == len(r.token_ids) for r in found.values())
+    empty = spark.read.parquet(str(tmp_path / "documents.parquet")).where(F.lit(False))
     for _, stage in P.STAGES[:-1]:
-        docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
-        assert stage(spark, docs, str(tmp_path)).columns == docs.columns
-        assert stage(spark, docs.where(F.lit(False)), str(tmp_path)).count() == 0
+        none = stage(spark, empty, str(tmp_path))
+        assert none.columns == empty.columns and none.count() == 0
