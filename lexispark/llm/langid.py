@@ -1,8 +1,8 @@
 """Language identification of mixed documents.
 
 Each language has a smoothed likelihood of hashed byte n-grams. For a document, expectation-maximisation estimates
-the proportions of the languages in a mixture from its n-gram counts; languages enter the set one by one, as long as
-the likelihood gains more than a penalty that grows with the logarithm of the document's length.
+the proportions of the languages in a mixture from its n-gram counts; languages enter and leave the set one by one, as
+long as the likelihood less a penalty for each language, which grows with the logarithm of the document's length, grows.
 """
 
 from __future__ import annotations
@@ -21,7 +21,9 @@ NGRAM, BITS = 3, 16
 #: Expected bound on rows the likelihoods are counted on, chosen by a hash of the key.
 MAX_ROWS = 8000
 #: Factor of the penalty: n-grams overlap, so a document holds fewer independent ones than places.
-PENALTY, ROUNDS = 2.0 * NGRAM, 12
+PENALTY = 2.0 * NGRAM
+#: Rounds of EM at most, and how near to the best log-likelihood they need to come.
+ROUNDS, CLOSE = 200, 0.05
 UNKNOWN = "und"
 
 
@@ -46,15 +48,22 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and (text[0].isalpha() or any(map(str.isalpha, text)))
 
 
-def mixture(p: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
-    """Proportions and log-likelihood by EM; ``p``: n-grams x languages."""
-    share = np.full(p.shape[1], 1 / p.shape[1])
-    total = counts.sum()
-    for _ in range(rounds):
-        weighted = p * share
-        weighted /= weighted.sum(axis=1, keepdims=True)
-        share = counts @ weighted / total
-    return share, float(counts @ np.log(p @ share + 1e-300))
+def mixture(p: np.ndarray, counts: np.ndarray, first: int = 0, enough: float = np.inf, too_little: float = -np.inf) -> tuple[np.ndarray, float, float]:
+    """Proportions by EM (``p``: n-grams x languages), their log-likelihood, and an upper bound of what any proportions
+    reach: the likelihood is concave, so it rises by no more than its largest slope towards a single language. EM goes
+    on until the bound is ``CLOSE``, the likelihood exceeds ``enough`` or the bound falls to ``too_little``."""
+    n, total = p.shape[1], counts.sum()
+    share = np.full(n, 0.1 / max(n - 1, 1))
+    share[first] = 0.9 if n > 1 else 1.0
+    for _ in range(ROUNDS):
+        mixed = p @ share
+        slope = (counts / mixed) @ p
+        value = float(counts @ np.log(mixed))
+        bound = value + float(slope.max()) - total
+        if bound - value <= CLOSE or value > enough or bound <= too_little:
+            break
+        share = share * slope / total
+    return share, value, bound
 
 
 @dataclass
@@ -67,19 +76,26 @@ class LanguageModel:
         if not self.languages or not has_letter(text):
             return {}
         found, counts = grams(text)
+        if not len(found):
+            return {}
         p = self.probability[found]
         alone = counts @ np.log(p)
         chosen = [int(np.argmax(alone))]
         best, share = float(alone[chosen[0]]), np.ones(1)
         price = PENALTY * 0.5 * np.log(max(counts.sum(), 2))
         if len(self.languages) > 1:
-            everything, limit = mixture(p, counts, 6)
-            if limit - best > price:  # no subset beats the full mixture by much, so most documents stop here
-                for k in map(int, np.argsort(-everything)):
-                    if k not in chosen:
-                        tried, value = mixture(p[:, [*chosen, k]], counts)
-                        if value - best > price:
-                            chosen, best, share = [*chosen, k], value, tried
+            # no set of languages exceeds the bound of all of them: most documents stop here
+            everything, _, bound = mixture(p, counts, chosen[0], best + price, best + price)
+            better = bound > best + price
+            while better:  # add or drop a language as long as the penalised likelihood grows
+                better = False
+                for k in map(int, np.argsort(-everything, kind="stable")):
+                    own = [c for c in chosen if c != k] if k in chosen else [*chosen, k]
+                    if not own:
+                        continue
+                    tried, value, _ = mixture(p[:, own], counts)
+                    if value - best > price * (len(own) - len(chosen)) + CLOSE:
+                        chosen, best, share, better = own, value, tried, True
         return {self.languages[k]: float(s) for k, s in zip(chosen, share, strict=True)}
 
 
@@ -118,27 +134,29 @@ def predict(df: DataFrame, model: LanguageModel, key: str = "doc_id", text: str
 
     ``languages`` maps the selected set to proportions; ``lang_pred`` is the largest (ties: first by name) and
     ``score`` its proportion. Null texts and texts without a letter are ``und`` with score 0 and an empty map, as is
-    everything if no language was learned. Rows map one to one; an empty table gives no rows.
+    everything if no language was learned. Rows map one to one, very long texts are read whole; a column of ``keep`` with
+    the name of a result is left out. An empty table gives no rows.
     """
     names, table = model.languages, model.probability.astype(np.float32)
-    columns = list(dict.fromkeys([key, *keep]))
-    source = df.select(*columns, F.col(text).cast("string").alias("__text"))
-    schema = ", ".join(f"`{c}` {t}" for c, t in source.dtypes if c != "__text")
+    columns = [c for c in dict.fromkeys([key, *keep]) if c == key or c not in ("lang_pred", "score", "languages")]
+    own_names = [f"c{k}" for k in range(len(columns))]  # no name clashes
+    source = df.select(*(F.col(f"`{c}`").alias(x) for c, x in zip(columns, own_names, strict=True)), F.col(f"`{text}`").cast("string").alias("t"))
+    schema = ", ".join(f"{c} {t}" for c, t in source.dtypes if c != "t")
 
     def make():
         own = LanguageModel(names, table.astype(float))
 
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [own.proportions(x) for x in batch.column("__text").to_pylist()]
+            found = [own.proportions(x) for x in batch.column("t").to_pylist()]
             best = [min(f.items(), key=lambda x: (-x[1], x[0])) if f else (UNKNOWN, 0.0) for f in found]
             return pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in columns), pa.array([b[0] for b in best], pa.string()), pa.array([min(max(b[1], 0.0), 1.0) for b in best], pa.float64()), pa.array([list(f.items()) for f in found], pa.map_(pa.string(), pa.float64()))],
-                [*columns, "lang_pred", "score", "languages"],
+                [*(batch.column(c) for c in own_names), pa.array([b[0] for b in best], pa.string()), pa.array([min(max(b[1], 0.0), 1.0) for b in best], pa.float64()), pa.array([list(f.items()) for f in found], pa.map_(pa.string(), pa.float64()))],
+                [*own_names, "lang_pred", "score", "languages"],
             )
 
         return apply
 
-    return map_arrow(source, make, f"{schema}, lang_pred string, score double, languages map<string,double>")
+    return map_arrow(source, make, f"{schema}, lang_pred string, score double, languages map<string,double>").toDF(*columns, "lang_pred", "score", "languages")
 
 
 def held_out(key: str = "doc_id", fold: int = 2, folds: int = 4):
