@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
-import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
+
 #: Rows of a side of numbers that may be broadcast; beyond them, joins shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -33,22 +35,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; one of our own only for a local master that names none."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if configured is None:
-        known = context._jsc.sc().getCheckpointDir()
-        if known.isDefined():
-            return known.get()
-        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        configured = tempfile.mkdtemp(prefix="lexispark-")
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(configured)
-    return configured
-
-
 def qualified(spark: SparkSession, path: str) -> str:
     """A path with its scheme, the default file system's where it names none."""
     context = spark.sparkContext
@@ -67,15 +53,17 @@ def tidy(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps: it does so once the driver's handles are collected, which
     on a driver with little garbage may be long after the disks are full."""
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first pass finds dead still holds other objects
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.05)
 
 
 def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write once as Parquet in the shared folder and read back: a survivor of lost executors, columnar and prunable."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=compression)
     tidy(spark)
+    df.write.parquet(path, compression=compression)
     found = spark.read.schema(df.schema).parquet(path)
     found.written_path = path
     return found
@@ -133,29 +121,31 @@ def single_threaded() -> None:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """Connected components of ``edges (a long, b long)``: rows ``(node, component)`` with the smallest node id.
 
-    Alternating large-star and small-star steps (Kiveris et al., 2014), each round checkpointed in the shared
-    folder; edges shrink to stars, so no component is ever gathered into one task. Null ends are ignored, empty
-    input gives no rows; nodes without edges do not appear.
+    Alternating large-star and small-star steps (Kiveris et al., 2014), each round checkpointed in the shared folder,
+    until nothing changes; edges shrink to stars. The smallest neighbour of each node comes by broadcast while the edges
+    are few, else by a join whose hot nodes are Spark's to split. Null ends are ignored, empty input gives no rows;
+    nodes without edges do not appear.
     """
     live = edges.where("a is not null and b is not null and a <> b")
     live = cut(live.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).distinct())
-    seen = None
-    for _ in range(max_rounds):
+    seen, rounds = tuple(live.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()), 0
+    while seen[0]:
+        sent = F.broadcast if 2 * seen[0] <= BROADCAST_ROWS else lambda x: x
         both = live.select("a", "b").union(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         # large star: larger neighbours of a node point to its smallest neighbour
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.join(sent(low), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # small star: smaller neighbours and the node itself point to the smallest of them
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
+        small = large.join(sent(least), "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
         live = cut(small.select("e.a", "e.b").where("a <> b").distinct())
-        mark = tuple(live.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+        mark, rounds = tuple(live.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()), rounds + 1
         if mark == seen:
             break
+        if rounds == max_rounds:
+            raise RuntimeError("connected components did not settle")
         seen = mark
-    else:
-        raise RuntimeError("connected components did not settle")
     return live.select(F.col("a").alias("node"), F.col("b").alias("component")).union(live.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()

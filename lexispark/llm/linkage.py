@@ -16,12 +16,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, discard, written
+from .common import BROADCAST_ROWS, components, cut, discard, written
 
 #: A block's data; an item counts for ITEM_BYTES at least, so that a block has 4096 items at most.
 BLOCK_BYTES, ITEM_BYTES, BLOCK_ITEMS = 32 << 20, 8 << 10, 4096
-#: Rows of a side of numbers, and bytes of a side with data, that may be broadcast; beyond them, joins shuffle.
-BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
+#: Bytes of a side with data that may be broadcast; beyond them, joins shuffle.
+BROADCAST_BYTES = 64 << 20
 
 
 #: All pairs of a run of so many rows.
@@ -53,6 +53,26 @@ class Union:
         self.up[max(x, y)] = min(x, y)
 
 
+class Labels:
+    """Connected components of 0..n-1 under pairs that come in arrays: each item's label is the least of its component."""
+
+    def __init__(self, n: int):
+        self.of = np.arange(n)
+
+    def join(self, i: np.ndarray, j: np.ndarray) -> None:
+        while len(i):
+            a, b = self.of[i], self.of[j]
+            apart = a != b
+            if not apart.any():
+                return
+            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            up = np.arange(len(self.of))
+            np.minimum.at(up, np.maximum(a, b), np.minimum(a, b))
+            while (up[up] != up).any():
+                up = up[up]
+            self.of = up[self.of]
+
+
 def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[np.ndarray, list[bytes]]]:
     """Nodes and data of each run of equal leading columns."""
     at, nodes, data = None, [], []
@@ -71,9 +91,10 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[np.nda
         yield np.concatenate(nodes), data
 
 
-def _close(keys: int, near: Callable[[np.ndarray, np.ndarray], np.ndarray], pairs: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None):
-    """Pairs of a run that may link and connect all that such pairs connect. With ``pairs``, which tells the same as
-    ``near`` row by row, many short runs are compared at once."""
+def _close(keys: int, near: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], pairs: Callable[[np.ndarray, np.ndarray], np.ndarray] | None, ratio: float):
+    """Pairs of a run that connect all that may link: (a member, the first of those that it is connected with). With
+    ``pairs``, which tells the same as ``near`` row by row, many short runs are compared at once. A run is compared in
+    order of size, each block only with sizes up to the ``ratio``-th part more."""
 
     def together(runs):
         """Pairs of indices into the runs' rows, one run after another."""
@@ -81,14 +102,18 @@ def _close(keys: int, near: Callable[[np.ndarray, np.ndarray], np.ndarray], pair
         size = [len(data) for _, data in runs]
         own, starts = own.reshape(sum(size), -1), np.cumsum([0, *size])
         i, j = (np.concatenate([SHORT_PAIRS[n][side] + at for n, at in zip(size, starts[:-1], strict=True)]) for side in (0, 1))
-        may, union, nodes = pairs(own[i], own[j]), Union(len(own)), np.concatenate([x for x, _ in runs])
-        for u, v in zip(i[may].tolist(), j[may].tolist(), strict=True):
-            if union.find(u) != union.find(v):
-                union.join(u, v)
-                yield int(nodes[u]), int(nodes[v])
+        may, labels = pairs(own[i], own[j]), Labels(len(own))
+        labels.join(i[may], j[may])
+        return labels, np.concatenate([x for x, _ in runs])
 
     def run(batches):
         a, b, held, waiting = [], [], [], 0
+
+        def stars(labels, nodes):
+            own = np.flatnonzero(labels.of != np.arange(len(nodes)))
+            a.extend(nodes[labels.of[own]].tolist())
+            b.extend(nodes[own].tolist())
+
         for nodes, data in _runs(batches, keys):
             if pairs and len(data) < len(SHORT_PAIRS):
                 if len(data) > 1:
@@ -96,26 +121,25 @@ def _close(keys: int, near: Callable[[np.ndarray, np.ndarray], np.ndarray], pair
                     waiting += len(data) ** 2
                 if waiting < 1 << 16:
                     continue
-                for u, v in together(held):
-                    a.append(u)
-                    b.append(v)
+                stars(*together(held))
                 held, waiting = [], 0
                 continue
-            own, union = np.frombuffer(b"".join(data), np.uint8).reshape(len(data), -1), Union(len(data))
+            own, labels = np.frombuffer(b"".join(data), np.uint8).reshape(len(data), -1), Labels(len(data))
+            size = np.ascontiguousarray(own[:, :4]).view("<u4")[:, 0].astype(np.int64)
+            order = np.argsort(size, kind="stable")
+            own, size, nodes = own[order], size[order], nodes[order]
             rows = max(1, min(256, (1 << 24) // max(own.size, 1)))
             for first in range(0, len(own), rows):
-                may = near(own[first : first + rows], own[first:])
-                for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(may, 1))), strict=True):
-                    if union.find(first + i) != union.find(first + j):
-                        union.join(first + i, first + j)
-                        a.append(int(nodes[first + i]))
-                        b.append(int(nodes[first + j]))
+                end = int(np.searchsorted(size, size[min(first + rows, len(own)) - 1] / ratio + 1, side="right"))
+                i, j = near(own[first : first + rows], own[first:end])
+                labels.join(i + first, j + first)
+            stars(labels, nodes)
             if len(a) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-                a, b = [], []
-        for u, v in together(held) if held else ():
-            a.append(u)
-            b.append(v)
+                a.clear()
+                b.clear()
+        if held:
+            stars(*together(held))
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
@@ -167,11 +191,12 @@ def shared_keys(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found.where("n > 1").select("key", "node", "kind", "n"), counted
 
 
-def candidate_groups(keyed: DataFrame, signatures: DataFrame, near: Callable[[np.ndarray, np.ndarray], np.ndarray], pairs: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
+def candidate_groups(keyed: DataFrame, signatures: DataFrame, near: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], pairs: Callable[[np.ndarray, np.ndarray], np.ndarray] | None, ratio: float) -> DataFrame:
     """``keyed``: rows ``node long, kind int, keys array<long>``; ``signatures``: ``node, kind, data binary``, of equal
     length for equal kinds (one row each). Rows ``node, component`` of the items connected by pairs that share a key
-    and may link by ``near``, which compares two stacks of signatures and must not refuse a true link; ``pairs``, if given,
-    is the same row by row.
+    and may link by ``near``, which gives the indices of the pairs of two stacks of signatures that are not ruled out;
+    ``pairs``, if given, tells the same row by row. A signature begins with the item's size in four bytes, and linked
+    items' sizes have a quotient of ``ratio`` or more.
 
     Keys of one item end at a count; only the others meet their signatures. Keys of more than ``BLOCK_ITEMS``
     items are compared block pair by block pair."""
@@ -183,7 +208,7 @@ def candidate_groups(keyed: DataFrame, signatures: DataFrame, near: Callable[[np
     small = shared.where("blocks = 1").select("key", "node", "data").repartition("key").sortWithinPartitions("key", "node")
     large = shared.where("blocks > 1").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     large = large.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "data").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "node")
-    edges = small.mapInArrow(_close(1, near, pairs), "a long, b long").union(large.mapInArrow(_close(3, near), "a long, b long"))
+    edges = small.mapInArrow(_close(1, near, pairs, ratio), "a long, b long").union(large.mapInArrow(_close(3, near, None, ratio), "a long, b long"))
     groups = components(edges)
     discard(keys, signed)
     return groups
@@ -222,7 +247,7 @@ def verified_groups(data: DataFrame, link: Callable[[list[bytes]], Iterator[tupl
             yield flush()
 
     place = ["component", "low", "high"]
-    edges = placed.repartition(*place).sortWithinPartitions(*place, "node").mapInArrow(run, "a long, b long")
+    edges = placed.repartition(int(data.sparkSession.conf.get("spark.sql.shuffle.partitions")), *place).sortWithinPartitions(*place, "node").mapInArrow(run, "a long, b long")
     groups = components(cut(edges))
     discard(data, large)
     return groups

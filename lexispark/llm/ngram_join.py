@@ -17,8 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, map_arrow, written
-from .linkage import BROADCAST_ROWS, Union, candidate_groups, join_checked, verified_groups
+from .common import BROADCAST_ROWS, discard, drop_rows, map_arrow, written
+from .linkage import Union, candidate_groups, join_checked, verified_groups
 
 FANOUT = 8
 FAMILIES = pa.list_(pa.struct([("kind", pa.int32()), ("keys", pa.list_(pa.int64())), ("data", pa.binary())]))
@@ -88,10 +88,10 @@ class Keys:
 def may_overlap(num: int, den: int):
     """Signatures of one family: the overlap of two sets is at most the sum of their cells' smaller counts."""
 
-    def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def near(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         a, b = (np.ascontiguousarray(x).view("<u4") for x in (a, b))
         most = np.minimum(a[:, None, 1:], b[None, :, 1:]).sum(axis=2, dtype=np.int64)
-        return (num + den) * most >= num * (a[:, :1].astype(np.int64) + b[:, 0].astype(np.int64))
+        return np.nonzero((num + den) * most >= num * (a[:, :1].astype(np.int64) + b[:, 0].astype(np.int64)))
 
     return near
 
@@ -168,17 +168,10 @@ def tree_links(num: int, den: int):
     return link
 
 
-def similarity_groups(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows ``key, n_shingles long, class long, component_id``: one per input row.
-
-    Two rows link if their shingle sets have Jaccard ``num / den`` or more; ``component_id`` is the smallest key
-    reachable by links. Null, empty and word-less texts have no shingles, link with nothing (not even each other) and
-    are their own component. Rows that repeat a key are rows of their own; a null key is skipped as a component's
-    smallest unless it is the only one. Equal sets form one class by their hash (``class``) before any comparison, so
-    copies are never paired. Columns of other names are not read; an empty table gives no rows.
-    """
+def _groups(df: DataFrame, n: int, num: int, den: int, key: str, text: str) -> DataFrame:
+    """``id, h`` (hash of the text), ``n`` (shingles), ``class, component_id, grp``, which names the component."""
     kind = dict(df.dtypes)[key]
-    source = df.select(F.col(key).alias("id"), F.col(text).cast("string").alias("t"))
+    source = df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("string").alias("t")).withColumn("h", F.xxhash64("t"))
 
     def make():
         keys = Keys(num, den)
@@ -188,11 +181,11 @@ def similarity_groups(df: DataFrame, n: int = 5, num: int = 80, den: int = 100,
             own = [keys.of(s) if len(s) else [] for s in found]
             families = pa.array([[{"kind": f, "keys": k.tolist(), "data": d} for f, k, d in x] for x in own], FAMILIES)
             digest = pa.array([xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None for s in found], pa.int64())
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in found], pa.int64()), digest, families], ["id", "n", "class", "families"])
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in found], pa.int64()), digest, families], ["id", "h", "n", "class", "families"])
 
         return apply
 
-    sets = written(map_arrow(source, make, f"id {kind}, n long, class long, families array<struct<kind:int,keys:array<long>,data:binary>>"), "sets")
+    sets = written(map_arrow(source, make, f"id {kind}, h long, n long, class long, families array<struct<kind:int,keys:array<long>,data:binary>>"), "sets")
     rows = sets.where("n > 0").groupBy("class", "id").agg(F.count("*").alias("rows"))
     classes = written(rows.groupBy("class").agg(F.min("id").alias("low"), F.sum("rows").alias("members")), "classes")
     # one row stands for each class; only rows that repeat even the key have to be told apart
@@ -200,7 +193,7 @@ def similarity_groups(df: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     own = join_checked(sets.withColumn("node", F.col("class")), heads, ["node"]).where(F.col("id").eqNullSafe(F.col("low")))
     own = own.select("node", "rows", F.explode("families").alias("f")).select("node", "rows", "f.*")
     own = own.where("rows = 1").drop("rows").union(own.where("rows > 1").drop("rows").dropDuplicates(["node", "kind"]))
-    candidates = candidate_groups(own.select("node", "kind", "keys"), own.select("node", "kind", "data"), may_overlap(num, den))
+    candidates = candidate_groups(own.select("node", "kind", "keys"), own.select("node", "kind", "data"), may_overlap(num, den), None, num / den)
 
     # one text of each candidate class, fetched by its smallest key and checked by its digest
     ids = classes.join(candidates, F.col("class") == F.col("node")).select("low", "class", "component")
@@ -219,24 +212,41 @@ def similarity_groups(df: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     data = map_arrow(texts.select("class", "component", "t"), digest, "node long, component long, data binary")
     groups = verified_groups(data, tree_links(num, den)).withColumnRenamed("component", "grp")
     lows = classes.join(groups, F.col("class") == F.col("node")).groupBy("grp").agg(F.min("low").alias("glow"))
-    linked = groups.join(lows, "grp").select(F.col("node").alias("class"), "glow")
+    linked = groups.join(lows, "grp").select(F.col("node").alias("class"), "glow", "grp")
     # only classes of several rows or links need a look-up: all others are their own component
-    several = classes.join(linked, "class", "left").where("members > 1 or glow is not null").select("class", F.coalesce("glow", "low").alias("component_id"))
-    named = join_checked(sets.select("id", "n", "class"), several, ["class"], "left")
-    named = written(named.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "class", F.coalesce("component_id", "id").alias("component_id")), "groups")
+    several = classes.join(linked, "class", "left").where("members > 1 or glow is not null").select("class", F.coalesce("glow", "low").alias("component_id"), "grp")
+    named = join_checked(sets.select("id", "h", "n", "class"), several, ["class"], "left")
+    named = written(named.select("id", "h", "n", "class", F.coalesce("component_id", "id").alias("component_id"), F.coalesce("grp", "class").alias("grp")), "groups")
     discard(sets, classes)
     return named
 
 
+def similarity_groups(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows ``key, n_shingles long, class long, component_id``: one per input row.
+
+    Two rows link if their shingle sets have Jaccard ``num / den`` or more; ``component_id`` is the smallest key
+    reachable by links. Null, empty and word-less texts have no shingles, link with nothing (not even each other) and
+    are their own component. Rows that repeat a key are rows of their own; a null key is skipped as a component's
+    smallest unless it is the only one. Equal sets form one class by their hash (``class``) before any comparison, so
+    copies are never paired. Columns of other names are not read; an empty table gives no rows.
+    """
+    found = _groups(df, n, num, den, key, text)
+    return found.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "class", "component_id")
+
+
 def ngram_join(docs: DataFrame) -> DataFrame:
     """The digest of op4: 3-word shingles, Jaccard 0.9."""
     return similarity_groups(docs, 3, 90, 100).select("doc_id", "n_shingles", "component_id")
 
 
-def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One document of each group: that whose key is the component's smallest. Documents without words stay."""
-    groups = similarity_groups(docs, n, num, den).where("component_id <> doc_id").select("doc_id").distinct()
-    return join_checked(docs, written(groups, "copies"), ["doc_id"], "left_anti")
+def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each group, all columns: that of the smallest key (null last), then text hash. Documents without
+    words stay. Rows that repeat both key and text are one document and stay or go together; rows that share only the
+    key are judged by their own texts. An empty table gives no rows."""
+    rows = _groups(docs, n, num, den, key, text).where("n > 0").select("grp", F.struct(F.col("id").isNull().alias("none"), "id", "h").alias("own"))
+    first = rows.groupBy("grp").agg(F.min("own").alias("first"), F.max("own").alias("last")).where("first <> last").select("grp", "first")
+    gone = join_checked(rows, first, ["grp"]).where("own <> first").select(F.col("own.id").alias("k"), F.col("own.h").alias("h")).distinct()
+    return drop_rows(docs, written(gone, "copies"), key, text)
 
 
 ORACLE = r"""

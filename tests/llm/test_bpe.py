@@ -38,6 +38,25 @@ def test_any_text(text):
     assert ids(bpe.coder(SPEC).text_ids(text)) == expected == ids(token_store.encoder(SPEC)(text))
 
 
+def test_other_tokenizers_are_refused():
+    import json
+
+    for path, value in ((("pre_tokenizer", "add_prefix_space"), True), (("model", "ignore_merges"), True), (("normalizer",), {"type": "NFC"}), (("added_tokens", 0, "lstrip"), True)):
+        spec = json.loads(SPEC)
+        at = spec
+        for x in path[:-1]:
+            at = at[x]
+        at[path[-1]] = value
+        with pytest.raises(ValueError, match="not a plain"):
+            bpe.checked(json.dumps(spec))
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b", "en", 5)], "doc_id long, text string, token_ids string, c0 int")
+    found = bpe.bpe_round_trip(docs, PATH, keep=("doc_id", "token_ids", "c0", "text"))
+    assert found.columns == ["doc_id", "c0", "text", "token_ids", "decoded"] and found.first().decoded == "a b"
+
+
 def test_compatible_pairs_only():
     model = bpe.PrefixCoder(SPEC)
     for word in ("Ġunbelievable", "internationalisation", "aaaaaaaaab"):
