@@ -26,6 +26,8 @@ SPACES = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000"
 CACHE = 500_000
 #: Remembered tests of pairs at most; one costs more than a whole word.
 PAIRS = 600_000
+#: A pair of ids is remembered as one number.
+ID_BITS = 20
 _coders: dict[int, "PrefixCoder"] = {}
 
 
@@ -36,6 +38,24 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
+def checked(spec: str) -> dict:
+    """A ``tokenizer.json`` of the kind that this module encodes; ValueError for any other."""
+    found = json.loads(spec)
+    model, cut = found["model"], found.get("pre_tokenizer") or {}
+    odd = {
+        "model": model.get("type", "BPE") != "BPE",
+        "normalizer": found.get("normalizer") is not None,
+        "pre-tokenizer": cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") is not False or cut.get("use_regex", True) is not True,
+        "decoder": (found.get("decoder") or {}).get("type") != "ByteLevel",
+        "model options": any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")),
+        "added tokens": any(t.get(x) for t in found.get("added_tokens", []) for x in ("single_word", "lstrip", "rstrip")),
+        "number of ids": max([*model["vocab"].values(), *(t["id"] for t in found.get("added_tokens", []))], default=0) >= 1 << ID_BITS,
+    }
+    if any(odd.values()):
+        raise ValueError(f"not a plain byte-level BPE: {', '.join(k for k, v in odd.items() if v)}")
+    return found
+
+
 def letters_only(text: str) -> bool:
     """Whether a text is Latin letters throughout, on which all versions of Unicode agree."""
     return text.isalpha() and (text.isascii() or max(text) < "\u0250")
@@ -126,7 +146,7 @@ class PrefixCoder:
         import ahocorasick
         import regex
 
-        spec = json.loads(spec)
+        spec = checked(spec)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         self.split = regex.compile(SPLIT)
         letters = byte_letters()
@@ -166,7 +186,7 @@ class PrefixCoder:
         return ids
 
     def compatible(self, left: int, right: int) -> bool:
-        key = left << 20 | right
+        key = left << ID_BITS | right
         if (known := self.pairs.get(key)) is None:
             known = self.merged([self.single[c] for c in self.word[left] + self.word[right]]) == [left, right]
             if len(self.pairs) >= PAIRS:
@@ -187,7 +207,7 @@ class PrefixCoder:
             if start:
                 if (before := last[start]) < 0:
                     continue
-                if (fits := pairs.get(before << 20 | token)) is None:
+                if (fits := pairs.get(before << ID_BITS | token)) is None:
                     fits = self.compatible(before, token)
                 if not fits:
                     continue
@@ -240,36 +260,49 @@ def _strings(raw: list[bytes]) -> pa.Array:
     return pa.array([x.decode("utf-8", "replace") for x in raw], pa.string())
 
 
-def _round_trip(spec: str, id_cols: list[str], text: str):
+def _round_trip(spec: str, n: int):
     def make():
         model = coder(spec)
 
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-            encoded = [model.text_ids(x or "") for x in batch.column(text).to_pylist()]
+            encoded = [model.text_ids(x or "") for x in batch.column("t").to_pylist()]
             counts = np.array([len(x) // 4 for x in encoded], dtype=np.int64)
             ids = np.frombuffer(b"".join(encoded), dtype="<u4").astype(np.int32)
             offsets = np.zeros(len(counts) + 1, dtype=np.int32)
             np.cumsum(counts, out=offsets[1:])
             decoded = [model.decode(ids[offsets[k] : offsets[k + 1]]).tobytes() for k in range(len(counts))]
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
-            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in id_cols), lists, _strings(decoded)], [*id_cols, "token_ids", "decoded"])
+            return pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(n)), lists, _strings(decoded)], [*(f"c{k}" for k in range(n)), "token_ids", "decoded"])
 
         return apply
 
     return make
 
 
+def _kept(df: DataFrame, keep: tuple[str, ...], results: tuple[str, ...], value) -> tuple[DataFrame, list[str], str]:
+    """Columns of ``keep`` by number and ``value`` as ``t``, their names, and the schema of the former: no name clashes,
+    and a kept column with the name of a result is left out."""
+    names = [c for c in dict.fromkeys(keep) if c not in results]
+    source = df.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)), value.alias("t"))
+    return source, names, "".join(f"{c} {t}, " for c, t in source.dtypes if c != "t")
+
+
+def _spec(path: str) -> str:
+    with open(path, encoding="utf-8") as f:
+        spec = f.read()  # travels with the plan: executors need no local copy
+    checked(spec)
+    return spec
+
+
 def bpe_round_trip(df: DataFrame, tokenizer_path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns of ``keep`` plus ``token_ids array<int>`` and ``decoded string`` of every whole text.
 
     Null texts count as empty (no ids, empty string). Rows are never merged, so ties and repeated rows stay; other
-    columns, whatever their names, are pruned before the scan. An empty table gives no rows. One narrow stage.
+    columns, whatever their names, are pruned before the scan, and a column of ``keep`` named like a result is left
+    out. An empty table gives no rows. One narrow stage. ValueError for a tokenizer of another kind.
     """
-    with open(tokenizer_path, encoding="utf-8") as f:
-        spec = f.read()  # travels with the plan: executors need no local copy
-    source = df.select(*keep, F.col(text).cast("string").alias("__text"))
-    schema = ", ".join(f"`{c}` {t}" for c, t in source.dtypes if c != "__text")
-    return map_arrow(source, _round_trip(spec, list(keep), "__text"), f"{schema}, token_ids array<int>, decoded string")
+    source, names, schema = _kept(df, keep, ("token_ids", "decoded"), F.col(f"`{text}`").cast("string"))
+    return map_arrow(source, _round_trip(_spec(tokenizer_path), len(names)), f"{schema}token_ids array<int>, decoded string").toDF(*names, "token_ids", "decoded")
 
 
 def bpe_encode(df: DataFrame, tokenizer_path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -278,21 +311,19 @@ def bpe_encode(df: DataFrame, tokenizer_path: str, text: str = "text", keep: tup
 
 def bpe_decode(df: DataFrame, tokenizer_path: str, ids: str = "token_ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns of ``keep`` plus ``decoded``; null id lists decode to the empty string."""
-    with open(tokenizer_path, encoding="utf-8") as f:
-        spec = f.read()
-    source = df.select(*keep, F.col(ids).cast("array<int>").alias("__ids"))
-    schema = ", ".join(f"`{c}` {t}" for c, t in source.dtypes if c != "__ids")
+    spec = _spec(tokenizer_path)
+    source, names, schema = _kept(df, keep, ("decoded",), F.col(f"`{ids}`").cast("array<int>"))
 
     def make():
         model = coder(spec)
 
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-            raw = [model.decode(np.array(x or [], dtype=np.int64)).tobytes() for x in batch.column("__ids").to_pylist()]
-            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), _strings(raw)], [*keep, "decoded"])
+            raw = [model.decode(np.array(x or [], dtype=np.int64)).tobytes() for x in batch.column("t").to_pylist()]
+            return pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), _strings(raw)], [*(f"c{k}" for k in range(len(names))), "decoded"])
 
         return apply
 
-    return map_arrow(source, make, f"{schema}, decoded string")
+    return map_arrow(source, make, f"{schema}decoded string").toDF(*names, "decoded")
 
 
 def bpe_digest(df: DataFrame, tokenizer_path: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import ChunkedEncoder, byte_letters, letters_only
+from .bpe import ChunkedEncoder, byte_letters, checked, letters_only
 from .common import qualified, shared_dir, single_threaded, slices
 
 #: Multiplier and shifts of the 64-bit finaliser used for keys.
@@ -253,7 +253,8 @@ def write_store(df: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = f.read()
-    top = max([*json.loads(spec)["model"]["vocab"].values(), *(t["id"] for t in json.loads(spec).get("added_tokens", [])), end_id], default=0)
+    known = checked(spec)
+    top = max([*known["model"]["vocab"].values(), *(t["id"] for t in known.get("added_tokens", [])), end_id], default=0)
     width = 2 if top < 1 << 16 else 4
     folder = qualified(df.sparkSession, folder)
     files, root = _open(folder)
