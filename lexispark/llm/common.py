@@ -51,7 +51,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 def tidy(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps: it does so once the driver's handles are collected, which
-    on a driver with little garbage may be long after the disks are full."""
+    on a driver with little garbage may be long after the disks are full. A local session, whose heap is that of all
+    tasks and slow to collect, is left alone."""
+    if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+        return
     gc.collect()
     for _ in range(2):  # what the first pass finds dead still holds other objects
         spark.sparkContext._jvm.System.gc()
