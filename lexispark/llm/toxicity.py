@@ -16,7 +16,7 @@ SIZES, BITS = (4, 5, 6), 20
 #: Expected bound on labelled rows the classifier is fitted on, chosen by a hash of the key, each class by itself.
 MAX_ROWS_PER_CLASS = 2000
 #: The penalty of a weight's size beside the mean loss of a row, and rounds and steps of the fit.
-PENALTY, ROUNDS, STEPS = 1e-3, 8, 120
+PENALTY, ROUNDS, STEPS = 1e-3, 8, 250
 
 
 def cells(text: str) -> np.ndarray:
