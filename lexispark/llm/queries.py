@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, langid, licenses, line_dedup, ngram_join, token_store, topk_search, toxicity
+from . import bpe, chat, decontaminate, langid, licenses, line_dedup, ngram_join, token_store, topk_search, toxicity, whitening
 from .common import table
 
 
@@ -57,6 +57,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitening(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
@@ -69,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_store": op8_token_store,
         "op9_topk": op9_topk,
         "op10_language": op10_language,
+        "op11_whitening": op11_whitening,
     }
 
 
