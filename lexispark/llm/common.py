@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import shared_dir
@@ -120,6 +120,36 @@ def drop_rows(docs: DataFrame, found: DataFrame, key: str, text: str) -> DataFra
     return left.drop("own").toDF(*names)
 
 
+#: Ranges for each shuffle partition, and sampled rows for each range: the sample does not grow with the rows.
+RANGES_PER_PARTITION, SAMPLED_PER_RANGE = 2, 16
+
+
+def _salt() -> Column:
+    return F.rand(13)
+
+
+def ranges(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row ``cuts array<struct<keys, salt>>``: rising ends of ranges of like size, each the key of a row, from a sample
+    of a size that depends on the number of shuffle partitions alone. Only where more rows than a range takes share a
+    key do salts part them; else an end holds all rows of its key. ``rows`` has to give the same rows in the same order
+    each time, as a scan of files does: rows keep their salts."""
+    spark = rows.sparkSession
+    pieces, n = RANGES_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count()
+    drawn = rows.select(*keys, _salt().alias("salt")).sample(min(1.0, SAMPLED_PER_RANGE * pieces / max(1, n)), 7)
+    drawn = drawn.orderBy(*(F.asc_nulls_first(c) for c in [*keys, "salt"])).collect()
+    picked = [tuple(r) for r in drawn[SAMPLED_PER_RANGE - 1 :: SAMPLED_PER_RANGE]]
+    ends = [(*p[:-1], p[-1] if k + 1 < len(picked) and picked[k + 1][:-1] == p[:-1] else 2.0) for k, p in enumerate(picked)]
+    kind = ", ".join(f"{c}: {rows.schema[c].dataType.simpleString()}" for c in keys)
+    return spark.createDataFrame([(ends,)], f"cuts array<struct<{kind}, salt: double>>")
+
+
+def with_range(rows: DataFrame, cuts: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with ``salt`` and ``range``, the number of cuts below the row: rows in rising order of keys, nulls first,
+    have rising ranges."""
+    own = F.struct(*keys, "salt")
+    return rows.withColumn("salt", _salt()).crossJoin(F.broadcast(cuts)).withColumn("range", F.size(F.filter("cuts", lambda c: c < own))).drop("cuts")  # cuts is one row
+
+
 def single_threaded() -> None:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, langid, licenses, line_dedup, ngram_join, token_store, topk_search, toxicity, whitening
+from . import bpe, chat, decontaminate, fingerprints, langid, licenses, line_dedup, ngram_join, snapshot_diff, token_store, topk_search, toxicity, whitening
 from .common import table
 
 
@@ -61,6 +61,14 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitening(table(spark, sf_dir, "embeddings"))
 
 
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_digest(table(spark, sf_dir, "documents"))
+
+
+def op13_snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshot_diff.snapshot_diff(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
@@ -74,8 +82,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_topk": op9_topk,
         "op10_language": op10_language,
         "op11_whitening": op11_whitening,
+        "op12_fingerprints": op12_fingerprints,
+        "op13_snapshot_diff": op13_snapshot_diff,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_licenses": licenses.oracle(), "op4_ngram_join": ngram_join.ORACLE, "op5_chat": chat.ORACLE, "op9_topk": topk_search.ORACLE}
+    return {"op3_licenses": licenses.oracle(), "op4_ngram_join": ngram_join.ORACLE, "op5_chat": chat.ORACLE, "op9_topk": topk_search.ORACLE, "op13_snapshot_diff": snapshot_diff.ORACLE}
