@@ -150,18 +150,19 @@ def table_unknown(spark, d):
         return one(spark, message=e.args[0])
 
 
-@query("SELECT doc_id, regexp_replace(text, '[^\\x{00}-\\x{FF}]', '?', 'g') AS text, CASE WHEN regexp_matches(text, '[^\\x{00}-\\x{7F}]') THEN 'iso-8859-1' ELSE 'utf-8' END AS charset FROM documents WHERE NOT regexp_matches(text, '[\\x{80}-\\x{9F}]')")
+_EIGHT_BIT = "regexp_replace(coalesce(text, ''), '[^\\x{00}-\\x{7F}\\x{A0}-\\x{FF}]', '?', 'g')"
+
+
+@query(f"SELECT doc_id, {_EIGHT_BIT} AS text, CASE WHEN regexp_matches({_EIGHT_BIT}, '[^\\x{{00}}-\\x{{7F}}]') THEN 'iso-8859-1' ELSE 'utf-8' END AS charset FROM documents")
 def charset_latin(spark, d):
-    docs = table(spark, d, "documents").where(~F.col("text").rlike("[\\u0080-\\u009F]"))
-    raw = F.encode(F.regexp_replace("text", "[^\\u0000-\\u00FF]", "?"), "ISO-8859-1")
-    odd = F.col("text").rlike("[^\\u0000-\\u007F]") & ~F.regexp_replace("text", "[^\\u0000-\\u00FF]", "?").rlike("[^\\u0000-\\u007F]")
-    return docs.select("doc_id", tsv.decode(raw).alias("text"), F.when(odd, "iso-8859-1").otherwise(tsv.encoding_name(raw)).alias("charset"))
+    raw = F.encode(F.regexp_replace(F.coalesce("text", F.lit("")), "[^\\u0000-\\u007F\\u00A0-\\u00FF]", "?"), "ISO-8859-1")
+    return table(spark, d, "documents").select("doc_id", tsv.decode(raw).alias("text"), tsv.encoding_name(raw).alias("charset"))
 
 
-@query("SELECT doc_id, text, 'utf-16' AS charset FROM documents WHERE length(text) > 0")
+@query("SELECT doc_id, coalesce(text, '') AS text, 'utf-16' AS charset FROM documents")
 def charset_utf16(spark, d):
-    raw = F.encode("text", "UTF-16")  # with its byte-order mark
-    return table(spark, d, "documents").where(F.length("text") > 0).select("doc_id", tsv.decode(raw).alias("text"), tsv.encoding_name(raw).alias("charset"))
+    raw = F.concat(F.unhex(F.lit("FEFF")), F.encode(F.coalesce("text", F.lit("")), "UTF-16BE"))  # with its byte-order mark
+    return table(spark, d, "documents").select("doc_id", tsv.decode(raw).alias("text"), tsv.encoding_name(raw).alias("charset"))
 
 
 @query("SELECT doc_id, text FROM documents")

@@ -1,4 +1,4 @@
-"""The shared folder, and snapshots of tables in it that are swapped in whole."""
+"""The shared folder, and versioned snapshots of tables in it."""
 
 from __future__ import annotations
 
@@ -7,8 +7,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Name of the file that names the current version.
-POINTER = "current"
+from . import commits
+
+#: Folder of the numbered versions within a snapshot's folder.
+VERSIONS = "_versions"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,33 +29,26 @@ def shared_dir(spark: SparkSession) -> str:
     return configured
 
 
-def _files(spark: SparkSession, path: str):
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+def save_snapshot(rows: DataFrame, folder: str) -> str:
+    """Write a new version beside the old ones, then commit it: readers see one of them whole, at any moment, and of two
+    writers none is lost. Returns its path."""
+    spark, path = rows.sparkSession, f"{folder}/v-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    commits.commit(spark, f"{folder}/{VERSIONS}", lambda before: {"path": path})
+    return path
+
 
+def load_snapshot(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
+    """A version, the latest unless it is named; FileNotFoundError if there is none. The rows stay those of that version
+    whatever is saved later, until ``expire_snapshots`` deletes it."""
+    return spark.read.parquet(commits.load(spark, f"{folder}/{VERSIONS}", version)[1]["path"])
 
-def save_snapshot(rows: DataFrame, folder: str) -> str:
-    """Write a new version beside the old one, then point to it: readers see one of them whole. Returns its path."""
-    spark, version = rows.sparkSession, f"v-{uuid.uuid4().hex}"
-    rows.write.parquet(f"{folder}/{version}")
-    pointer, files = _files(spark, f"{folder}/{POINTER}")
-    fresh, _ = _files(spark, f"{folder}/{POINTER}.{version}")
-    out = files.create(fresh, True)
-    out.write(version.encode())
-    out.close()
-    if files.exists(pointer):
-        files.delete(pointer, False)
-    if not files.rename(fresh, pointer):
-        raise OSError(f"{folder} could not be pointed to {version}")
-    return f"{folder}/{version}"
-
-
-def load_snapshot(spark: SparkSession, folder: str) -> DataFrame:
-    """The current version; FileNotFoundError if there is none."""
-    pointer, files = _files(spark, f"{folder}/{POINTER}")
-    if not files.exists(pointer):
-        raise FileNotFoundError(folder)
-    stream = files.open(pointer)
-    version = bytes(stream.readAllBytes()).decode()
-    stream.close()
-    return spark.read.parquet(f"{folder}/{version}")
+
+def expire_snapshots(spark: SparkSession, folder: str, keep: int = 2) -> list[int]:
+    """Delete all versions but the last ``keep``, which readers may still hold."""
+
+    def drop(content: dict) -> None:
+        where, system = commits.files(spark, content["path"])
+        system.delete(where, True)
+
+    return commits.expire(spark, f"{folder}/{VERSIONS}", keep, drop)
