@@ -34,7 +34,16 @@ _ONE = {c: b for c, b in _changed().items() if len(b) == 1}
 _NONE = [c for c, b in _changed().items() if not b]
 #: What becomes several characters (letters with vowel signs, nuktas, sound marks), by what it ends with and from its first one.
 _MORE = {c: b for c, b in _changed().items() if len(b) > 1}
-_ODD = "[" + "".join(_MORE) + f"{chr(FIRST)}-{chr(LAST)}]"
+
+
+def _ranges(found: list[int], gap: int = 0x80) -> str:
+    """A class of few ranges around code points that lie no more than ``gap`` apart: it may hold others too."""
+    cuts = [k for k in range(1, len(found)) if found[k] - found[k - 1] > gap]
+    return "[" + "".join(f"{chr(found[a])}-{chr(found[b - 1])}" for a, b in zip([0, *cuts], [*cuts, len(found)], strict=True)) + "]"
+
+
+#: Only text with a character of this class is taken apart character by character.
+_ODD = _ranges(sorted([*map(ord, _MORE), *range(FIRST, LAST + 1)]))
 
 
 def _taken_apart(c: Column) -> Column:

@@ -7,12 +7,16 @@ summed; rows whose primary field equals the query, or starts with it, come first
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, fold_py, max_distance, tokens, tokens_py
 
+if TYPE_CHECKING:
+    from .store import TextStore
+
 
 @dataclass(frozen=True)
 class Scoring:
@@ -31,26 +35,15 @@ class Scoring:
 
 @dataclass(frozen=True)
 class Index:
-    """``postings (id, field, term, tf, len)``, ``vocabulary (field, term, df)``, ``stats (field, avg_len)``, ``size (n)``;
-    an index that is not saved also has the ``places`` of terms, a row each, so that a search counts only its own terms."""
+    """``postings (id, field, term, tf, len)``, ``vocabulary (field, term, df)``, ``stats (field, avg_len)``, ``size (n)``,
+    and the ``places`` of terms, a row each, so that a search counts only its own terms. Nothing is kept: ``store`` is the
+    index to build once."""
 
     postings: DataFrame
     vocabulary: DataFrame
     stats: DataFrame
     size: DataFrame
-    places: DataFrame | None = None
-
-    def save(self, path: str) -> "Index":
-        """Written sorted by term, so that scans of exact and prefix terms skip row groups."""
-        spark = self.postings.sparkSession
-        for name in ("postings", "vocabulary", "stats", "size"):
-            frame = getattr(self, name)
-            (frame.repartitionByRange("term").sortWithinPartitions("term") if "term" in frame.columns else frame).write.mode("overwrite").parquet(f"{path}/{name}")
-        return Index.load(spark, path)
-
-    @staticmethod
-    def load(spark: SparkSession, path: str) -> "Index":
-        return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "vocabulary", "stats", "size")))
+    places: DataFrame
 
 
 def field_tokens(base: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
@@ -94,10 +87,8 @@ def expand(vocabulary: DataFrame, terms: list[tuple[str, int]], scoring: Scoring
 def score(index: Index, terms: list[tuple[str, int]], scoring: Scoring = Scoring()) -> DataFrame:
     """``id, score``. Only matched vocabulary (small) is broadcast, by Spark's own size test."""
     asked = expand(index.vocabulary, terms, scoring)
-    if index.places is None:
-        hits = index.postings.join(asked, ["field", "term"])
-    else:  # what the query does not ask for ends before the shuffle
-        hits = index.places.join(asked, ["field", "term"]).groupBy("id", "field", "term", "len", "df", "qi", "w").agg(F.count("*").alias("tf"))
+    # what the query does not ask for ends before the shuffle
+    hits = index.places.join(asked, ["field", "term"]).groupBy("id", "field", "term", "len", "df", "qi", "w").agg(F.count("*").alias("tf"))
     hits = hits.join(F.broadcast(index.stats), "field").crossJoin(F.broadcast(index.size))  # a row per field, and one row
     idf = F.log(F.lit(1.0) + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.lit(scoring.d) + F.col("tf") * (scoring.k + 1) / (F.col("tf") + scoring.k * (1 - scoring.b + scoring.b * F.col("len") / F.col("avg_len")))
@@ -113,9 +104,9 @@ def priority(primary: Column, query: str) -> Column:
     return F.when(folded == asked, 2).when(F.startswith(folded, F.lit(asked)), 1).otherwise(0)
 
 
-def ranked(base: DataFrame, id_col: str, fields: list[str], primary: str, query: str, scoring: Scoring = Scoring(), index: Index | None = None) -> DataFrame:
+def ranked(base: DataFrame, id_col: str, fields: list[str], primary: str, query: str, scoring: Scoring = Scoring(), index: Index | "TextStore" | None = None) -> DataFrame:
     """Matching rows of ``base`` with ``_priority`` and ``_score``. A query without terms matches nothing; an empty
-    query, the whole table. Order with ``in_rank``."""
+    query, the whole table. Order with ``in_rank``. ``index`` may be a ``TextStore`` of the rows, which is read in part."""
     if not isinstance(query, str):
         raise TypeError("a query is a string")
     if not query:
@@ -123,7 +114,7 @@ def ranked(base: DataFrame, id_col: str, fields: list[str], primary: str, query:
     terms = query_terms(query, scoring)
     if not terms:
         return base.where(F.lit(False)).withColumns({"_priority": F.lit(0), "_score": F.lit(0.0)})
-    found = score(index or build_index(base, id_col, fields), terms, scoring)
+    found = score(index or build_index(base, id_col, fields), terms, scoring) if index is None or isinstance(index, Index) else index.score(query)
     return base.join(found.withColumnsRenamed({"id": id_col, "score": "_score"}), id_col).withColumn("_priority", priority(F.col(primary), query))
 
 

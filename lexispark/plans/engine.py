@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,12 @@ from pyspark.sql import functions as F
 
 from ..operators import relational as R
 from ..operators import search as S
+from ..operators.store import TextStore
 from ..sources import tsv
+from ..sources.commits import files
 from ..sources.registry import DATASETS
+from ..sources.shared import shared_dir
+
 
 def bare(value):
     """Without absent (null) columns, at every depth."""
@@ -51,35 +56,52 @@ def substances(compositions: DataFrame) -> DataFrame:
 
 
 class Engine:
-    """A snapshot of a folder; ``reload`` swaps a new one in."""
+    """What a folder held when it was loaded: rows are parsed once and kept as Parquet in the shared folder, whatever
+    becomes of the files, and an index of a dataset is built once, for its first search. ``reload`` swaps in a new load."""
 
     def __init__(self, spark: SparkSession, folder: str, scoring: S.Scoring = S.Scoring()):
         self.spark, self.folder, self.scoring = spark, folder, scoring
-        self.tables = {n: tsv.scan(spark, f"{folder}/{d.file}", d) for n, d in DATASETS.items() if d.file and d.enabled}
-        self.tables["substances"] = substances(self.tables["compositions"])
-        self.indexes: dict[str, S.Index] = {}
+        self.home = f"{shared_dir(spark)}/engine-{uuid.uuid4().hex}"
+        self.tables: dict[str, DataFrame] = {}
+        self.indexes: dict[str, TextStore] = {}
+        for name, d in DATASETS.items():
+            if d.file and d.enabled:
+                self._keep(name, tsv.scan(spark, f"{folder}/{d.file}", d))
+        self._keep("substances", substances(self.tables["compositions"]))
+        self.loaded = tsv.modified_at(spark, f"{folder}/{DATASETS['specialites'].file}").first().asDict()
+
+    def _keep(self, name: str, rows: DataFrame) -> None:
+        rows.write.parquet(f"{self.home}/tables/{name}")
+        self.tables[name] = self.spark.read.schema(rows.schema).parquet(f"{self.home}/tables/{name}")
 
     def reload(self) -> "Engine":
-        """Read the folder anew and swap it in at once; if that fails, the old snapshot stays. Saved indexes go."""
-        self.__dict__.update(Engine(self.spark, self.folder, self.scoring).__dict__)
+        """Load the folder anew and swap it in at once; if that fails, the old load stays. Tables and pages that were
+        taken from the old load still read it."""
+        self.__dict__ = Engine(self.spark, self.folder, self.scoring).__dict__
         return self
 
+    def drop(self) -> None:
+        """Delete what is kept, when nothing reads it any more."""
+        where, system = files(self.spark, self.home)
+        system.delete(where, True)
+
     def table(self, name: str) -> DataFrame:
         if name not in self.tables:
             raise KeyError(f"no dataset {name}")
         return self.tables[name]
 
     def metadata(self) -> dict:
-        return tsv.modified_at(self.spark, f"{self.folder}/{DATASETS['specialites'].file}").first().asDict()
+        return self.loaded
 
-    def save_indexes(self, path: str) -> None:
-        for name, rows in self.tables.items():
-            self.indexes[name] = S.build_index(rows, "_pos", list(DATASETS[name].indexed)).save(f"{path}/{name}")
+    def index(self, name: str) -> TextStore:
+        if name not in self.indexes:
+            self.indexes[name] = TextStore.create(self.table(name), "_pos", list(DATASETS[name].indexed), f"{self.home}/indexes/{name}", self.scoring)
+        return self.indexes[name]
 
     def search(self, name: str, query: str = "") -> DataFrame:
         """Rows of a dataset in rank order columns ``_priority, _score, _pos``; the whole table without a query."""
-        d = DATASETS[name]
-        return S.ranked(self.table(name), "_pos", list(d.indexed), d.primary, query, self.scoring, self.indexes.get(name))
+        rows, d = self.table(name), DATASETS[name]
+        return S.ranked(rows, "_pos", list(d.indexed), d.primary, query, self.scoring, self.index(name) if isinstance(query, str) and S.query_terms(query) else None)
 
     def _page(self, rows: DataFrame, order: list, number: int, limit: int) -> Page:
         shown = R.page(rows, order, number, limit).drop("_pos", "_priority", "_score", "_src")

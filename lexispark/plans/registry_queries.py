@@ -76,13 +76,20 @@ def registry(spark: SparkSession, d: str) -> str:
         if name == "specialites":
             line = F.when(F.expr(SHORT), F.concat_ws("\t", *values[:3])).otherwise(line)
         line = F.concat(line, F.when(F.col(key) % 2 == 0, "\r").otherwise(""), F.when(F.col(key) % 7 == 0, "\n").otherwise(""))
-        table(spark, d, source).orderBy(key).coalesce(1).select(line).write.mode("overwrite").text(f"{folder}/{DATASETS[name].file}")
+        table(spark, d, source).orderBy(key).select(line).write.mode("overwrite").text(f"{folder}/{DATASETS[name].file}")
     _folders[at] = folder
     return folder
 
 
+_engines: dict[tuple[str, str], Engine] = {}
+
+
 def engine(spark: SparkSession, d: str) -> Engine:
-    return Engine(spark, registry(spark, d))
+    """One load of the folder for all queries."""
+    at = (spark.sparkContext.applicationId, d)
+    if at not in _engines:
+        _engines[at] = Engine(spark, registry(spark, d))
+    return _engines[at]
 
 
 def query(sql: str, name: str | None = None):
@@ -121,10 +128,9 @@ for _name in ("specialites", "presentations", "compositions", "conditions"):
 
 @query(f"SELECT pos, cis FROM {view('specialites')}")
 def scan_positions(spark, d):
-    """Lines count in file order, blank ones aside."""
-    rows = engine(spark, d).table("specialites").select("_pos", "cis")
-    every = rows.agg(F.array_sort(F.collect_list("_pos")).alias("every"))  # a registry file is small
-    return rows.join(F.broadcast(every)).select(F.array_position("every", F.col("_pos")).alias("pos"), "cis")
+    """Lines count in file order over all files and splits, blank ones aside."""
+    rows = tsv.scan(spark, f"{registry(spark, d)}/{DATASETS['specialites'].file}", DATASETS["specialites"])
+    return rows.select((F.col("_pos") + 1).alias("pos"), "cis")
 
 
 @query(f"SELECT * EXCLUDE (pos) FROM {view('mitm')}")
@@ -170,13 +176,6 @@ def charset_utf8(spark, d):
     return table(spark, d, "documents").select("doc_id", tsv.decode(F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8"))).alias("text"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem ORDER BY l_orderkey, l_linenumber, l_suppkey, l_partkey, l_shipdate, l_quantity, l_extendedprice LIMIT 25 OFFSET 40000")
-def list_page_deep(spark, d):
-    """A page that is cut out of the sorted table, wherever it lies."""
-    order = ["l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_shipdate", "l_quantity", "l_extendedprice"]
-    return R.cut_out(table(spark, d, "lineitem"), order, 40_000, 25).select("l_orderkey", "l_linenumber", "l_partkey")
-
-
 @query(f"SELECT true AS known, {lit(DATASETS['specialites'].file)} AS source")
 def metadata(spark, d):
     found = engine(spark, d).metadata()
@@ -345,7 +344,7 @@ def distinct_conditions(spark, d):
     return engine(spark, d).table("conditions").select("condition").distinct()
 
 
-# Search: absent fields, boosts, saved indexes
+# Search: absent fields, boosts
 
 _PARTIAL = "(SELECT p_partkey, p_name, CASE WHEN p_partkey % 3 > 0 THEN p_type END AS p_type FROM part)"
 
@@ -363,18 +362,6 @@ def search_boosted(spark, d):
     return found.select(F.col("p_partkey").alias("id"), F.col("_priority").alias("priority"), F.round("_score", 6).alias("score"))
 
 
-@query(search_sql("documents", "doc_id", ["text"], "text", "mentenre thion"))
-def search_saved_index(spark, d):
-    """The index is built once per session and folder; a search reads the terms it asks for."""
-    docs, at = table(spark, d, "documents"), (spark.sparkContext.applicationId, f"{d}#index")
-    if at not in _folders:
-        path = f"{shared_dir(spark)}/index-{spark.sparkContext.applicationId}-{len(_folders)}"
-        S.build_index(docs, "doc_id", ["text"]).save(path)
-        _folders[at] = path
-    found = S.ranked(docs, "doc_id", ["text"], "text", "mentenre thion", index=S.Index.load(spark, _folders[at]))
-    return found.select(F.col("doc_id").alias("id"), F.col("_priority").alias("priority"), F.round("_score", 6).alias("score"))
-
-
 def queries() -> dict[str, Query]:
     return {name: f for name, (f, _) in _queries.items()}
 

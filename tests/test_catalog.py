@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexispark.operators import relational as R
+from lexispark.operators import search as S
 from lexispark.plans.engine import Engine
 from lexispark.sources import ingest, tsv
 from lexispark.sources.registry import DATASETS
@@ -83,9 +84,9 @@ def test_search(engine, tmp_path):
         engine.search_all("")
     with pytest.raises(TypeError):
         engine.search("specialites", ["a"])
-    before = engine.list("specialites", "doli tramadol").data
-    engine.save_indexes(str(tmp_path))
-    assert engine.list("specialites", "doli tramadol").data == before
+    rows = engine.table("specialites")
+    read = S.in_rank(S.ranked(rows, "_pos", list(DATASETS["specialites"].indexed), "denomination", "doli tramadol"), "_pos")
+    assert [r.cis for r in read.collect()] == [r["cis"] for r in engine.list("specialites", "doli tramadol").data]
 
 
 def test_pages(engine):
@@ -121,6 +122,10 @@ def test_reload(spark, tmp_path):
     engine = Engine(spark, str(tmp_path))
     assert engine.list("specialites").pagination["total"] == 1
     (tmp_path / "CIS_bdpm.txt").write_text("1\tone\n2\ttwo")
+    assert engine.list("specialites").pagination["total"] == 1 and engine.list("specialites", "two").data == []
+    held = engine.table("specialites")
+    assert engine.reload().list("specialites", "two").pagination["total"] == 1
+    assert held.count() == 1 and engine.table("specialites").count() == 2
     assert engine.reload().list("specialites").pagination["total"] == 2
 
 
@@ -183,3 +188,25 @@ def test_union_and_empty(spark):
     a, b = spark.createDataFrame([(1, "x")], "k int, v string"), spark.createDataFrame([(2,)], "k int")
     assert [(r.type, r.k, r.v) for r in R.tagged_union([("a", a), ("b", b)]).orderBy("_src").collect()] == [("a", 1, "x"), ("b", 2, None)]
     assert R.page_info(a.limit(0)).first().pages == 0
+
+
+@pytest.mark.parametrize("charset", ["utf-8", "latin-1", "utf-8-sig"])
+def test_splits_number_lines_without_gaps(spark, tmp_path, charset):
+    from pyspark.sql import functions as F
+
+    folder = tmp_path / "CIS_bdpm.txt"
+    folder.mkdir()
+    lines = [f"{k}\tdéjà {'x' * (k % 50)}" for k in range(4000)]
+    for part in range(3):
+        own = lines[part * 1000 :: 1][: 1000 if part < 2 else 2000]
+        (folder / f"part-{part}.txt").write_bytes("".join(x + ("\r\n" if k % 3 else "\n\n") for k, x in enumerate(own)).encode(charset))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = tsv.scan(spark, str(folder), DATASETS["specialites"])
+        assert rows.rdd.getNumPartitions() > 10
+        got = sorted((r._pos, r.cis, r.denomination) for r in rows.collect())
+        assert rows.groupBy("denomination").agg(F.count("*")).count() == 50
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == [(k, *map(str.strip, x.split("\t"))) for k, x in enumerate(lines)]
