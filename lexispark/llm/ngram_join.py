@@ -49,20 +49,27 @@ def shingles(text: str | None, n: int) -> np.ndarray:
 class Keys:
     """Candidate keys of sets for Jaccard ``num / den`` or more."""
 
-    def __init__(self, num: int, den: int, largest: int = 1 << 26):
-        self.low = [1]
-        while self.low[-1] <= largest:  # a linked pair lies in one class or two neighbours
-            at = self.low[-1]
-            self.low.append(max(at + 1, (at - 1) * den // num + 1))
-        self.low = np.array(self.low)
-        self.apart = [2 * (int(x) - 1) * (den - num) // (den + num) for x in self.low[2:]]
+    def __init__(self, num: int, den: int):
+        self.num, self.den, self.low = num, den, np.array([1])
+        self._reach(1 << 16)
+
+    def _reach(self, size: int) -> None:
+        """Size classes up to one beyond a set's: a linked pair lies in one class or two neighbours."""
+        low = self.low.tolist()
+        while len(low) < 4 or low[-3] <= size:
+            at = low[-1]
+            low.append(max(at + 1, (at - 1) * self.den // self.num + 1))
+        self.low = np.array(low)
+        self.apart = [2 * (x - 1) * (self.den - self.num) // (self.den + self.num) for x in low[2:]]
         # somewhat more parts than differences, so that parts of several shingles must be equal, not just empty ones
-        self.parts = [int(np.ceil((d + 1) * (1.1 if int(x) > 6 * (d + 1) else 1.3))) for d, x in zip(self.apart, self.low, strict=False)]
+        self.parts = [int(np.ceil((d + 1) * (1.1 if x > 6 * (d + 1) else 1.3))) for d, x in zip(self.apart, low, strict=False)]
         # cells of a family's histograms: about eight shingles to a cell
-        self.cells = [1 << max(3, (int(x) // 8).bit_length()) for x in self.low]
+        self.cells = [1 << max(3, (x // 8).bit_length()) for x in low]
 
     def of(self, s: np.ndarray) -> list[tuple[int, np.ndarray, bytes]]:
         """For each family of a set's size: its number, keys, and signature (size, and shingles in each cell)."""
+        if len(s) >= self.low[-3]:
+            self._reach(len(s))
         own = int(np.searchsorted(self.low, len(s), side="right")) - 1
         out = []
         for family in (own - 1, own):

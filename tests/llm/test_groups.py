@@ -320,3 +320,15 @@ def test_search(spark, monkeypatch):
         assert [m[0] for m in mine] == [b[0] for b in best(K.words(t), 5)]
         assert [m[1] for m in mine] == pytest.approx([b[1] for b in best(K.words(t), 5)], abs=2e-6)
     assert K.search(frame.limit(0), frame.selectExpr("doc_id as id", "text")).count() == 0
+
+
+def test_size_classes_have_no_end():
+    keys = N.Keys(90, 100)
+    of = lambda k, n: [(f, x.tolist(), b) for f, x, b in k.of(np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))]
+    at = [of(keys, n) for n in (5, 1 << 10)]
+    keys._reach(1 << 33)  # beyond any array: the table follows the sets
+    assert keys.low[-2] > 1 << 33 and len(keys.parts) >= len(keys.apart)
+    assert [of(keys, n) for n in (5, 1 << 10)] == at
+    small = N.Keys(90, 100)
+    small.low, small.apart, small.parts, small.cells = small.low[:6], small.apart[:4], small.parts[:4], small.cells[:6]
+    assert of(small, 100_000) == of(keys, 100_000)
