@@ -22,8 +22,8 @@ NGRAM, BITS = 3, 16
 MAX_ROWS = 8000
 #: Factor of the penalty: n-grams overlap, so a document holds fewer independent ones than places.
 PENALTY = 2.0 * NGRAM
-#: Rounds of EM at most, and how near to the best log-likelihood they need to come.
-ROUNDS, CLOSE = 200, 0.05
+#: How near to the best log-likelihood EM needs to come.
+CLOSE = 0.05
 UNKNOWN = "und"
 
 
@@ -51,19 +51,21 @@ def has_letter(text: str | None) -> bool:
 def mixture(p: np.ndarray, counts: np.ndarray, first: int = 0, enough: float = np.inf, too_little: float = -np.inf) -> tuple[np.ndarray, float, float]:
     """Proportions by EM (``p``: n-grams x languages), their log-likelihood, and an upper bound of what any proportions
     reach: the likelihood is concave, so it rises by no more than its largest slope towards a single language. EM goes
-    on until the bound is ``CLOSE``, the likelihood exceeds ``enough`` or the bound falls to ``too_little``."""
+    on until the bound is ``CLOSE``, the likelihood exceeds ``enough``, the bound falls to ``too_little``, or the likelihood
+    no longer rises in doubles."""
     n, total = p.shape[1], counts.sum()
     share = np.full(n, 0.1 / max(n - 1, 1))
     share[first] = 0.9 if n > 1 else 1.0
-    for _ in range(ROUNDS):
+    last = -np.inf
+    while True:
         mixed = p @ share
         slope = (counts / mixed) @ p
         value = float(counts @ np.log(mixed))
         bound = value + float(slope.max()) - total
-        if bound - value <= CLOSE or value > enough or bound <= too_little:
-            break
+        if bound - value <= CLOSE or value > enough or bound <= too_little or value <= last:
+            return share, value, bound
+        last = value
         share = share * slope / total
-    return share, value, bound
 
 
 @dataclass
