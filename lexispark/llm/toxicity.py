@@ -15,8 +15,9 @@ from .common import BROADCAST_ROWS, map_arrow, slices
 SIZES, BITS = (4, 5, 6), 20
 #: Expected bound on labelled rows the classifier is fitted on, chosen by a hash of the key, each class by itself.
 MAX_ROWS_PER_CLASS = 2000
-#: The penalty of a weight's size beside the mean loss of a row, and rounds and steps of the fit.
-PENALTY, ROUNDS, STEPS = 1e-3, 8, 250
+#: The penalty of a weight's size beside the mean loss of a row; the fit ends when no slope is off by more than this share
+#: of it. Steps between two looks at the slopes.
+PENALTY, CLOSE, STEPS = 1e-3, 0.02, 50
 
 
 def cells(text: str) -> np.ndarray:
@@ -56,8 +57,9 @@ def fit(texts: list[str], labels: np.ndarray, rate: float, penalty: float = PENA
     """Logistic regression over all cells, each scaled by its log-count ratio, with a penalty on absolute weights, which
     leaves most at zero; the bias is free. ``rate``: share of class 1 among all labelled rows, to which rows are weighted.
 
-    Each round finds the cells whose slope exceeds the penalty among all cells and goes on with these and the ones in use;
-    cells outside them would stay at zero. It ends when no cell joins."""
+    Each round goes on with the cells that have a weight and those whose slope exceeds the penalty, of all cells, and takes
+    twice the steps of the one before at most. It ends when all slopes are those of the best fit: the penalty's where a
+    weight is not zero, within it where it is. The loss is convex, so it comes to an end."""
     weight, prior = np.zeros(1 << BITS, np.float32), float(np.log(max(rate, 1e-6) / max(1 - rate, 1e-6)))
     n = np.array([(labels == 0).sum(), (labels == 1).sum()])
     if min(n) == 0:
@@ -82,12 +84,18 @@ def fit(texts: list[str], labels: np.ndarray, rate: float, penalty: float = PENA
             at += size.sum()
         return out * ratio
 
-    w, b, margin, used = np.zeros(1 << BITS), prior, np.full(len(y), prior), np.zeros(1 << BITS, bool)
-    for _ in range(ROUNDS):
-        joining = (np.abs(slopes(error(margin))) > penalty) & ~used
-        if not joining.any():
+    def off(slope: np.ndarray, x: np.ndarray, last: float) -> float:
+        """How far slopes are from those of the best fit; the bias, whose slope comes last, has no penalty."""
+        held = np.where(x == 0, np.maximum(np.abs(slope) - penalty, 0), np.abs(slope + penalty * np.sign(x)))
+        return max(float(held.max(initial=0.0)), abs(last))
+
+    w, b, margin, most = np.zeros(1 << BITS), prior, np.full(len(y), prior), STEPS
+    while True:
+        wrong = error(margin)
+        slope = slopes(wrong)
+        if off(slope, w, float(wrong.sum())) <= CLOSE * penalty:
             break
-        used |= joining
+        used = (w != 0) | (np.abs(slope) > penalty)
         active = np.flatnonzero(used)
         place = np.cumsum(used) - 1
         here = used[found]
@@ -105,14 +113,18 @@ def fit(texts: list[str], labels: np.ndarray, rate: float, penalty: float = PENA
             bent = inward(share * outward(turn))
             turn = bent / np.linalg.norm(bent)
         step, ahead, pace = 1 / (0.25 * 1.05 * np.linalg.norm(bent)), own, 1.0
-        for _ in range(STEPS):  # proximal descent with momentum, which starts anew where it leads back
+        for k in range(most):  # proximal descent with momentum, which starts anew where it leads back
+            if k % STEPS == STEPS - 1:
+                bent = inward(error(outward(own)))
+                if off(bent[:-1], own[:-1], float(bent[-1])) <= 0.5 * CLOSE * penalty:
+                    break
             new = ahead - step * inward(error(outward(ahead)))
             new[:-1] = np.sign(new[:-1]) * np.maximum(np.abs(new[:-1]) - step * penalty, 0)
             if (ahead - new) @ (new - own) > 0:
                 pace = 1.0
             faster = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
             ahead, own, pace = new + (pace - 1) / faster * (new - own), new, faster
-        margin, own, b = outward(own), own[:-1], float(own[-1])
+        margin, own, b, most = outward(own), own[:-1], float(own[-1]), 2 * most
         w[active] = own
     weight[:] = w * ratio
     return ToxicityModel(weight, float(b))
