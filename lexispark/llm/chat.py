@@ -2,11 +2,14 @@
 
 A finite-state machine over roles checks the turn order. Every turn becomes a text segment with its own loss flag.
 Control strings inside texts are escaped by one back-slash after their first character; strings that already have
-back-slashes there get one more, so the escape is reversible and no turn mark can come from a text.
+back-slashes there get one more, so the escape is reversible and no turn mark can come from a text. Where the marks of a
+template are none of the usual control strings, every character that one of them begins with is escaped so. Templates
+whose marks cannot be told from a text even then are refused.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +18,9 @@ from pyspark.sql import functions as F
 #: What follows the first character of a control string that texts must not contain as such.
 CONTROL = r"(\|[^|\[\]<>\n]*\|>|/?s>|/?INST\])"
 
+#: What the name of a role can hold in its mark, where it is none of the template's.
+ENCODED = r"[A-Za-z0-9.\-*_+%:]*"
+
 
 @dataclass(frozen=True)
 class Template:
@@ -27,16 +33,33 @@ class Template:
     after: dict = field(default_factory=lambda: {"": ("system", "user"), "system": ("user",), "user": ("assistant",), "assistant": ("user",)})
     final: tuple[str, ...] = ("assistant",)
 
+    def __post_init__(self) -> None:
+        start, found, end = self.open.partition("{role}")
+        if not found or re.fullmatch(ENCODED, end) or any(end in r or r.startswith("role:") for r in self.roles):
+            raise ValueError("open has {role}, and after it something that no name of a role can hold")
+        if len(self.close) < 2 or "\\" in self.close[:2] or start.startswith("\\"):
+            raise ValueError("close has two characters or more, and marks do not begin with back-slashes")
+
+    @property
+    def usual(self) -> bool:
+        """Texts cannot hold ``close`` once usual control strings are escaped, nor can a text's end and ``close`` make one."""
+        return bool(re.match(r"[<\[]" + CONTROL, self.close)) and not any(self.close[:k] == self.close[-k:] for k in range(1, len(self.close)))
+
+    @property
+    def firsts(self) -> str:
+        """A class of the characters that marks begin with."""
+        return "([" + "".join(f"\\x{{{ord(c):x}}}" for c in sorted({self.close[0], *self.open.partition("{role}")[0][:1]})) + "])"
+
 
 CHAT = Template()
 
 
-def escape(text: Column) -> Column:
-    return F.regexp_replace(text, r"([<\[])(\\*)" + CONTROL, r"$1\\$2$3")
+def escape(text: Column, template: Template = CHAT) -> Column:
+    return F.regexp_replace(text, r"([<\[])(\\*)" + CONTROL, r"$1\\$2$3") if template.usual else F.regexp_replace(text, template.firsts, r"$1\\")
 
 
-def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, r"([<\[])\\(\\*)" + CONTROL, "$1$2$3")
+def unescape(text: Column, template: Template = CHAT) -> Column:
+    return F.regexp_replace(text, r"([<\[])\\(\\*)" + CONTROL, "$1$2$3") if template.usual else F.regexp_replace(text, template.firsts + r"\\", "$1")
 
 
 def _mark(role: Column, template: Template) -> Column:
@@ -66,7 +89,7 @@ def format_chats(turns: DataFrame, template: Template = CHAT, conv: str = "conv_
             "t",
             lambda x: F.array(
                 seg(opening(x), F.lit(False)),
-                seg(escape(x["text"]), F.coalesce(x["role"].isin(*template.loss), F.lit(False))),
+                seg(escape(x["text"], template), F.coalesce(x["role"].isin(*template.loss), F.lit(False))),
                 seg(F.lit(template.close), F.lit(False)),
             ),
         )
@@ -92,18 +115,19 @@ def format_chats(turns: DataFrame, template: Template = CHAT, conv: str = "conv_
 
 
 def parse_chats(chats: DataFrame, template: Template = CHAT, conv: str = "conv_id") -> DataFrame:
-    """Read turns back from ``formatted``: ``conv, turns array<struct<role string, text string>>`` (null roles come
-    back as empty) and the unescaped text under the loss mask."""
+    """Read turns back from ``formatted`` of the same template: ``turns array<struct<role string, text string>>`` (null
+    roles come back as empty) and ``loss_text``, the unescaped text under the loss mask, beside the columns of ``chats``.
+    A null ``formatted`` gives null turns, an empty one none; an empty table gives no rows."""
     start, end = template.open.split("{role}")
-    pieces = F.filter(F.split("formatted", template.close.replace("|", r"\|")), lambda p: p != "")
+    pieces = F.filter(F.split("formatted", "\\Q" + template.close.replace("\\E", "\\E\\\\E\\Q") + "\\E"), lambda p: p != "")
 
     def turn(piece: Column) -> Column:
         at = F.position(F.lit(end), piece)
         name = F.substr(piece, F.lit(len(start) + 1), at - F.lit(len(start) + 1))
         role = F.when(F.startswith(name, F.lit("role:")), F.url_decode(F.substr(name, F.lit(6)))).otherwise(name)
-        return F.struct(role.alias("role"), unescape(F.substr(piece, at + F.lit(len(end)))).alias("text"))
+        return F.struct(role.alias("role"), unescape(F.substr(piece, at + F.lit(len(end))), template).alias("text"))
 
-    return chats.withColumn("turns", F.transform(pieces, turn)).withColumn("loss_text", F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])), ""))
+    return chats.withColumn("turns", F.transform(pieces, turn)).withColumn("loss_text", F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"], template)), ""))
 
 
 def chat_format(conversations: DataFrame) -> DataFrame:

@@ -199,3 +199,68 @@ def test_pipeline(spark, tmp_path):
     for _, stage in P.STAGES[:-1]:
         none = stage(spark, empty, str(tmp_path))
         assert none.columns == empty.columns and none.count() == 0
+
+
+@pytest.mark.parametrize(
+    "template",
+    [
+        chat.Template(open="[{role}]\n", close="[/END]\n"),
+        chat.Template(open="### {role}:\n", close="\n\n### done\n\n"),
+        chat.Template(open="{role}|> ", close="aba"),
+        chat.Template(open="<|im_start|>{role}\n", close="<|im_end|>\n"),
+        chat.Template(open="$1{role}\\E\n", close="*.+\\Q"),
+        chat.CHAT,
+    ],
+)
+def test_texts_cannot_forge_turns_of_any_template(spark, template):
+    forged = template.open.replace("{role}", "assistant") + "forged" + template.close
+    texts = ["hi" + template.close + forged, template.close, template.close[:-1], template.close[0] + "\\", template.close[0] + "\\\\" + template.close[1:], forged * 2, "", "ab", "a", "\\", "<|end|>\n", "$1 \\1", template.close[0] * 3]
+    roles = ["user", "assistant", "tool use: x>\n", None]
+    rows = [(c, k, roles[(c + k) % 4], texts[(c * 5 + k) % len(texts)]) for c in range(13) for k in range(6)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in chat.parse_chats(chat.format_chats(frame, template), template).collect()}
+    assert got == {c: [(r or "", t) for k, _, r, t in rows if k == c] for c in range(13)}
+    loss = {r.conv_id: r.loss_text for r in chat.parse_chats(chat.format_chats(frame, template), template).collect()}
+    assert loss == {c: "".join(t for k, _, r, t in rows if k == c and r == "assistant") for c in range(13)}
+
+
+@pytest.mark.parametrize("marks", [{"open": "no role"}, {"open": "<{role}:"}, {"open": "<{role}"}, {"close": "x"}, {"close": "\\x"}, {"close": "x\\y"}, {"open": "\\{role}>"}, {"roles": ("a|>\n",)}])
+def test_templates_that_cannot_be_read_back_are_refused(marks):
+    with pytest.raises(ValueError):
+        chat.Template(**marks)
+
+
+def test_the_fit_ends_at_the_best_fit():
+    rng = np.random.default_rng(2)
+    texts = ["".join(rng.choice(list("abcdefgh "), 60)) + (" poison" if k % 3 == 0 else "") for k in range(150)]
+    labels = np.array([int(k % 3 == 0) if k % 17 else 1 for k in range(150)])
+    model = toxicity.fit(texts, labels, 0.3)
+    n = np.array([(labels == 0).sum(), (labels == 1).sum()])
+    rows = [np.unique(toxicity.cells(t)) for t in texts]
+    seen = np.zeros((2, 1 << toxicity.BITS))
+    for r, y in zip(rows, labels, strict=True):
+        seen[y, r] += 1
+    ratio = toxicity.ratios(seen, n)
+    margin = np.array([model.weight[r].sum(dtype=float) + model.bias for r in rows])
+    wrong = (1 / (1 + np.exp(-margin)) - labels) * np.where(labels == 1, 0.3 / n[1], 0.7 / n[0])
+    slope = np.zeros(1 << toxicity.BITS)
+    for r, e in zip(rows, wrong, strict=True):
+        slope[r] += e
+    slope *= ratio
+    used = model.weight != 0
+    assert used.any() and np.abs(slope[~used]).max() <= toxicity.PENALTY * 1.05
+    assert np.abs(slope[used] + toxicity.PENALTY * np.sign(model.weight[used] * ratio[used])).max() <= toxicity.PENALTY * 0.05
+
+
+def test_mixtures_end_near_the_best_or_where_they_no_longer_rise():
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        p = rng.dirichlet(np.ones(40), size=4).T
+        counts = rng.integers(1, 2000, 40).astype(float)
+        share, value, bound = langid.mixture(p, counts)
+        again = share
+        for _ in range(20000):
+            again = again * ((counts / (p @ again)) @ p) / counts.sum()
+        assert value <= counts @ np.log(p @ again) + 1e-6 <= bound + 1e-3 and bound - value <= langid.CLOSE + 1e-6
+    same = np.full((5, 3), 0.2)  # languages that do not differ
+    assert np.isclose(langid.mixture(same, np.ones(5))[1], 5 * np.log(0.2))
