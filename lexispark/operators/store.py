@@ -2,7 +2,7 @@
 
 A segment is written once: ``postings (bucket, term, field, id, tf, len)`` and ``keys (bucket, key, term)`` in a folder
 per bucket of their term or key, sorted within, so that a search with literal terms opens a few folders and skips row
-groups; ``terms (field, term, df)``, changes of document frequencies; ``forward (bucket, id, field, len, terms)``, what a
+groups; ``terms (field, term, df, tf_max, len_min)``, changes of document frequencies, and limits for upper bounds; ``forward (bucket, id, field, len, terms)``, what a
 row had, by id. A change writes one more segment with nothing but the new and changed rows and a list of ids whose older
 postings are dead; frequencies and lengths are sums, so those of dead rows are taken off. When a tier holds
 ``MERGE_AT`` segments of like size, they are merged without reading any text. Versions are committed by number
@@ -38,7 +38,7 @@ SCHEMAS = {
     "postings": "id {id}, field string, len long, term string, tf long, bucket int",
     "forward": "id {id}, field string, len long, terms array<string>, bucket int",
     "keys": "key string, term string, bucket int",
-    "terms": "field string, term string, df long",
+    "terms": "field string, term string, df long, tf_max long, len_min long",
     "dead": "id {id}",
 }
 
@@ -51,6 +51,11 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+def _summed(terms: DataFrame) -> DataFrame:
+    """One row per field and term; limits of rows that are gone stay limits. A term may change its limits alone."""
+    return terms.groupBy("field", "term").agg(F.sum("df").alias("df"), F.max("tf_max").alias("tf_max"), F.min("len_min").alias("len_min")).where("df <> 0 or tf_max is not null")
+
+
 @dataclass(frozen=True)
 class TextStore:
     """One version of a store. ``update`` returns the next one."""
@@ -143,21 +148,21 @@ class TextStore:
             places = own.select("id", "field", "len", F.explode("terms").alias("term"))
             self._write(places.groupBy("id", "field", "len", "term").agg(F.count("*").alias("tf")), name, "postings", "term")
             has.append("postings")
-            deltas.append(self._read(name, "postings").groupBy("field", "term").agg(F.count("*").alias("df")))
+            deltas.append(self._read(name, "postings").groupBy("field", "term").agg(F.count("*").alias("df"), F.max("tf").alias("tf_max"), F.min("len").alias("len_min")))
             n += base.count()
             for r in own.where("field is not null").groupBy("field").agg(F.count("*").alias("c"), F.sum("len").alias("s")).collect():
                 sums[r.field] = [sums[r.field][0] + r.c, sums[r.field][1] + r.s]
         if dead is not None:
             gone = old.join(dead, "id", "left_semi")
-            deltas.append(gone.select("field", F.explode(F.array_distinct("terms")).alias("term")).groupBy("field", "term").agg((-F.count("*")).alias("df")))
+            deltas.append(gone.select("field", F.explode(F.array_distinct("terms")).alias("term")).groupBy("field", "term").agg((-F.count("*")).alias("df"), F.lit(None).cast("long").alias("tf_max"), F.lit(None).cast("long").alias("len_min")))
             for r in gone.where("field is not null").groupBy("field").agg(F.count("*").alias("c"), F.sum("len").alias("s")).collect():
                 sums[r.field] = [sums[r.field][0] - r.c, sums[r.field][1] - r.s]
             n -= dead.count()
         if deltas:
-            self._write(_union(deltas).groupBy("field", "term").agg(F.sum("df").alias("df")).where("df <> 0"), name, "terms", None)
+            self._write(_summed(_union(deltas)), name, "terms", None)
             has.append("terms")
         if changed is not None:
-            terms = self._read(name, "terms").where("df > 0").select("term").distinct()
+            terms = self._read(name, "terms").where("tf_max is not null").select("term").distinct()
             known = self._parts("keys")
             if known is not None:  # keys of a term are the same in every segment: once is enough
                 terms = terms.join(known.where(F.col("key").startswith("p:")).select("term").distinct(), "term", "left_anti")
@@ -203,7 +208,7 @@ class TextStore:
                 self._write(live.drop("seq", "bucket"), name, table, order)
                 has.append(table)
         if (terms := own._parts("terms")) is not None:
-            self._write(terms.groupBy("field", "term").agg(F.sum("df").alias("df")).where("df <> 0"), name, "terms", None)
+            self._write(_summed(terms), name, "terms", None)
             has.append("terms")
         if rest and (dead := own._parts("dead")) is not None:  # of rows in segments before the run
             dead.select("id").distinct().write.parquet(f"{self.path}/segments/{name}/dead")

@@ -183,6 +183,10 @@ def sha256_digest(spark, d):
 # Search
 
 
+#: DuckDB counts edits of bytes: the only letter of two bytes that folding leaves in the given texts counts as one.
+_LEV = "levenshtein(translate(term, 'ß', chr(1)), translate(q, 'ß', chr(1)))"
+
+
 def search_sql(table_name: str, key: str, fields: list[str], primary: str, asked: str, tag: str = "", order: str = "") -> str:
     """The specification of ranked search in SQL: ids, priorities and scores to 6 decimals."""
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
@@ -195,8 +199,8 @@ qt(qi, q, md) AS (VALUES {terms}), st AS (SELECT field, avg(flen) AS avgl FROM f
 df AS (SELECT field, term, count(*)::DOUBLE AS df FROM po GROUP BY 1, 2),
 vo AS (SELECT field, term, df, qi, CASE WHEN term = q THEN 1.0::DOUBLE
   WHEN starts_with(term, q) THEN 0.375::DOUBLE * length(term) / (length(term) + 0.3::DOUBLE * (length(term) - length(q)))
-  ELSE 0.45::DOUBLE * length(term) / (length(term) + levenshtein(term, q)) END AS w
-  FROM df, qt WHERE starts_with(term, q) OR (md > 0 AND levenshtein(term, q) <= md)),
+  ELSE 0.45::DOUBLE * length(term) / (length(term) + {_LEV}) END AS w
+  FROM df, qt WHERE starts_with(term, q) OR (md > 0 AND {_LEV} <= md)),
 sc AS (SELECT po.id, qi, w * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (0.5::DOUBLE + tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.3::DOUBLE + 0.7::DOUBLE * flen / avgl))) AS s
   FROM po JOIN vo USING (field, term) JOIN fl USING (id, field) JOIN st USING (field), sz)
 SELECT {tag}id, CASE WHEN pf = {folded} THEN 2 WHEN starts_with(pf, {folded}) THEN 1 ELSE 0 END AS priority, round(score, 6) AS score
