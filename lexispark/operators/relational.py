@@ -106,3 +106,15 @@ def tagged_union(parts: Sequence[tuple[str, DataFrame]], tag: str = "type") -> D
         rows = rows.withColumns({tag: F.lit(name), "_src": F.lit(k)})
         out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
     return out
+
+
+def divide(rows: DataFrame, key: str, value: str, wanted: DataFrame) -> DataFrame:
+    """Relational division: the keys of ``rows`` that have every value of ``wanted`` (one column). Nulls are no values; an
+    empty ``wanted`` is had by every key. Values that nobody asks for end before the shuffle."""
+    needed = wanted.select(F.col(wanted.columns[0]).alias("_v")).where("_v is not null").distinct()
+    keys = rows.select(F.col(key)).where(F.col(key).isNotNull())
+    many = needed.count()
+    if not many:
+        return keys.distinct()
+    kept = rows.where(F.col(key).isNotNull()).join(needed, F.col(value) == F.col("_v"), "left_semi").select(key, value).distinct()
+    return kept.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") == many).select(key)

@@ -129,9 +129,27 @@ class Engine:
         row = found.asDict(recursive=True)
         return bare(row) | {"generiques": bare(row["generiques"]), "metadata": self.metadata()}
 
+    def details_json(self, metadata: bool = True) -> DataFrame:
+        """``_pos, cis, json`` of every drug, made where its rows are: absent columns are left out at every depth, a drug
+        without a group has ``"generiques":null``."""
+        rows = self.details()
+        own = F.to_json(F.struct(*(c for c in rows.columns if c not in ("_pos", "generiques"))), {"ignoreNullFields": "true"})
+        group = F.coalesce(F.to_json("generiques", {"ignoreNullFields": "true"}), F.lit("null"))
+        parts = [own.substr(F.lit(1), F.length(own) - 1), F.when(own == "{}", "").otherwise(","), F.lit('"generiques":'), group]
+        if metadata:
+            parts += [F.lit(',"metadata":' + compact(self.metadata()))]
+        return rows.select("_pos", "cis", F.concat(*parts, F.lit("}")).alias("json"))
+
     def detail_json(self, cis: str) -> str | None:
-        """Absent columns are left out at every depth; a drug without a group has ``"generiques":null``."""
-        return None if (found := self.detail(cis)) is None else compact(found)
+        """One drug, its first row in file order; None if there is none."""
+        found = R.first_match(self.details_json(), F.col("cis") == cis, ["_pos"]).first()
+        return None if found is None else found.json
+
+    def group_details(self, q: str) -> DataFrame:
+        """Details of every member of the groups that a search finds, each once: a group is found by any of its rows."""
+        groups = self.search("generiques", q).select("id_groupe").distinct()
+        members = self.table("generiques").join(groups, "id_groupe", "left_semi").select("cis").distinct()
+        return self.details().join(members, "cis", "left_semi")
 
     def search_all(self, q: str, page: int = 1, limit: int = 50) -> Page:
         """Three searches, one after the other, each in its own rank order."""

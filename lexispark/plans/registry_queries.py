@@ -316,6 +316,47 @@ def api_detail_json(spark, d):
     return one(spark, json=compact(found))
 
 
+def _object(name: str, alias: str) -> str:
+    """A row as JSON text without its absent columns."""
+    fields = ", ".join(f"CASE WHEN {alias}.{c} IS NOT NULL THEN '\"{c}\":' || to_json({alias}.{c})::VARCHAR END" for c in DATASETS[name].columns)
+    return f"concat_ws(',', {fields})"
+
+
+_JSON_CHILDREN = ("presentations", "compositions", "avis_smr", "avis_asmr", "conditions")
+_DETAILS_JSON = (
+    "WITH "
+    + ", ".join(f"{n} AS (SELECT x.cis, string_agg('{{' || {_object(n, 'x')} || '}}', ',' ORDER BY x.pos) AS j FROM {view(n)} x GROUP BY 1)" for n in _JSON_CHILDREN)
+    + f""", gi AS (SELECT id_groupe, string_agg('{{' || {_object('generiques', 'x')} || '}}', ',' ORDER BY x.pos) AS items FROM {view('generiques')} x GROUP BY 1),
+gf AS (SELECT cis, arg_min(id_groupe, pos) AS id_groupe, arg_min(libelle_groupe, pos) AS libelle_groupe FROM {view('generiques')} GROUP BY 1),
+g AS (SELECT cis, '{{"id_groupe":' || to_json(id_groupe)::VARCHAR || ',"libelle_groupe":' || to_json(libelle_groupe)::VARCHAR || ',"items":[' || items || ']}}' AS j FROM gf JOIN gi USING (id_groupe))
+SELECT s.cis, '{{' || concat_ws(',', {_object('specialites', 's')}"""
+    + "".join(f", '\"{n}\":[' || coalesce({n}.j, '') || ']'" for n in _JSON_CHILDREN)
+    + f", '\"generiques\":' || coalesce(g.j, 'null')) || '}}' AS json FROM {view('specialites')} s"
+    + "".join(f" LEFT JOIN {n} ON {n}.cis = s.cis" for n in (*_JSON_CHILDREN, "g"))
+)
+
+
+@query(_DETAILS_JSON)
+def details_json(spark, d):
+    """JSON of every drug with all its children and its group."""
+    return engine(spark, d).details_json(metadata=False).select("cis", "json")
+
+
+@query("SELECT c.c_custkey FROM customer c WHERE (SELECT count(DISTINCT event_type) FROM events) = (SELECT count(DISTINCT event_type) FROM events e WHERE e.user_id = c.c_custkey)")
+def division_all_types(spark, d):
+    """Customers with events of every type."""
+    rows = R.divide(table(spark, d, "events"), "user_id", "event_type", table(spark, d, "events").select("event_type"))
+    return table(spark, d, "customer").select("c_custkey").join(rows, F.col("c_custkey") == F.col("user_id"), "left_semi")
+
+
+@query(f"""WITH found AS (SELECT DISTINCT v.id_groupe FROM ({search_sql(view('generiques'), 'pos', list(DATASETS['generiques'].indexed), DATASETS['generiques'].primary, 'group 12')}) s JOIN {view('generiques')} v ON v.pos = s.id)
+SELECT s.cis, s.denomination, (SELECT count(*) FROM {view('presentations')} p WHERE p.cis = s.cis)::BIGINT AS n_presentations FROM {view('specialites')} s
+WHERE s.cis IN (SELECT cis FROM {view('generiques')} WHERE id_groupe IN (SELECT id_groupe FROM found))""")
+def api_group_details(spark, d):
+    """A search of groups, then the details of each member."""
+    return engine(spark, d).group_details("group 12").select("cis", "denomination", F.size("presentations").cast("long").alias("n_presentations"))
+
+
 @query("SELECT true AS missing")
 def api_detail_unknown(spark, d):
     return one(spark, missing=engine(spark, d).detail("00000000") is None)
