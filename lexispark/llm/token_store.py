@@ -31,6 +31,8 @@ from .common import qualified, shared_dir, single_threaded, slices
 MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Bytes of input to a shard: at least, up to as many shards as shuffles have partitions; and at most, beyond these.
 SHARD_LEAST, SHARD_MOST = 16 << 20, 128 << 20
+#: Bytes of input for each shard of an input that is too small for one of these per core.
+SHARD_SMALL = 1 << 20
 #: Entries of a generation of each worker's cache.
 CACHE = 900_000
 _encoders: dict[int, ChunkedEncoder] = {}
@@ -241,7 +243,9 @@ def shard_count(df: DataFrame) -> int:
     shuffled = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if size >= 1 << 60:  # not known
         return shuffled
-    return max(1, min(math.ceil(size / SHARD_LEAST), shuffled), math.ceil(size / SHARD_MOST))
+    # a small input keeps all cores busy: encoding is what takes time
+    busy = min(df.sparkSession.sparkContext.defaultParallelism, math.ceil(size / SHARD_SMALL))
+    return max(1, busy, min(math.ceil(size / SHARD_LEAST), shuffled), math.ceil(size / SHARD_MOST))
 
 
 def write_store(df: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
