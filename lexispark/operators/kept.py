@@ -27,21 +27,24 @@ class SortedTable:
     name: str
     counts: list[int]
     schema: str
+    part: str
+    row: str
 
     @staticmethod
     def save(rows: DataFrame, order: Sequence[Column | str], path: str, ranges: int | None = None) -> "SortedTable":
         """Sort once by ``order`` and keep. Rows that ``order`` does not tell apart stay in one fixed order."""
         spark, name = rows.sparkSession, uuid.uuid4().hex
-        if {"_part", "_row"} & set(rows.columns):
-            raise ValueError("columns _part and _row are the table's own")
+        part, row = "_part", "_row"  # no column of the rows
+        while {part, row} & set(rows.columns):
+            part, row = f"{part}_", f"{row}_"
         dealt = rows.repartitionByRange(ranges or int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
-        row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << ROW_BITS) - 1))
-        dealt.select("*", row.alias("_row"), F.spark_partition_id().alias("_part")).write.partitionBy("_part").parquet(f"{path}/{name}")
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", _row long, _part int"
-        found = {r["_part"]: r["n"] for r in spark.read.schema(schema).parquet(f"{path}/{name}").groupBy("_part").agg(F.count("*").alias("n")).collect()}
+        place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+        dealt.select("*", place.alias(row), F.spark_partition_id().alias(part)).write.partitionBy(part).parquet(f"{path}/{name}")
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + f", {row} long, {part} int"
+        found = {r["p"]: r["n"] for r in spark.read.schema(schema).parquet(f"{path}/{name}").groupBy(F.col(part).alias("p")).agg(F.count("*").alias("n")).collect()}
         counts = [found.get(p, 0) for p in range(max(found, default=-1) + 1)]
-        commits.commit(spark, f"{path}/versions", lambda before: {"name": name, "counts": counts, "schema": schema})
-        return SortedTable(spark, path, name, counts, schema)
+        commits.commit(spark, f"{path}/versions", lambda before: {"name": name, "counts": counts, "schema": schema, "part": part, "row": row})
+        return SortedTable(spark, path, name, counts, schema, part, row)
 
     @staticmethod
     def open(spark: SparkSession, path: str, version: int | None = None) -> "SortedTable":
@@ -52,6 +55,7 @@ class SortedTable:
         return sum(self.counts)
 
     def rows(self) -> DataFrame:
+        """All rows, with the columns ``part`` and ``row``, by which they are in order."""
         return self.spark.read.schema(self.schema).parquet(f"{self.path}/{self.name}")
 
     def slice(self, first: int, limit: int) -> DataFrame:
@@ -60,11 +64,11 @@ class SortedTable:
         for part, n in enumerate(self.counts):
             low, high = max(first, at), min(first + limit, at + n)
             if low < high:
-                wanted.append((F.col("_part") == part) & (F.col("_row") >= low - at) & (F.col("_row") < high - at))
+                wanted.append((F.col(self.part) == part) & (F.col(self.row) >= low - at) & (F.col(self.row) < high - at))
             at += n
         rows = self.rows()
         found = rows.where(reduce(lambda a, b: a | b, wanted)) if wanted else rows.where(F.lit(False))
-        return found.coalesce(1).sortWithinPartitions("_part", "_row").drop("_part", "_row")  # a page
+        return found.coalesce(1).sortWithinPartitions(self.part, self.row).drop(self.part, self.row)  # a page
 
     def page(self, number: int = 1, limit: int = 100) -> DataFrame:
         if number < 1 or limit < 1:

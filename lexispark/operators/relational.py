@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
+
+from ..sources.shared import shared_dir
 
 
 #: Rows up to the end of a page that one top-k holds; pages beyond are cut out of the sorted table.
@@ -15,32 +17,18 @@ TOP_ROWS = 100_000
 
 def page(rows: DataFrame, order: Sequence[Column | str], number: int = 1, limit: int = 100) -> DataFrame:
     """Exactly the ``limit`` rows of a page. Near the front it is one top-k with offset; further on, where a top-k would
-    hold all rows before it, rows are counted, and the page is cut out of the sorted table."""
+    hold all rows before it, rows are counted, and the page is cut out of a sorted table, which is made for this page: keep a
+    ``SortedTable`` for several of them."""
     if number < 1 or limit < 1:
         raise ValueError("pages and limits start at 1")
     first = (number - 1) * limit
     if first + limit <= TOP_ROWS:
         return rows.orderBy(*order).offset(first).limit(limit)
-    return rows.limit(0) if first >= rows.count() else cut_out(rows, order, first, limit)
-
-
-def cut_out(rows: DataFrame, order: Sequence[Column | str], first: int, limit: int) -> DataFrame:
-    """Rows are dealt by ranges and sorted once, and kept (checkpointed where there is a folder for it, else on disk);
-    numbers of rows tell which ranges hold the page, and only their rows are numbered. No task holds more than it sorts."""
-    spark = rows.sparkSession
-    dealt = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
-    kept = dealt.checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else dealt.persist(StorageLevel.DISK_ONLY)
-    at, row = (f"{c}{'_' * max(map(len, rows.columns))}" for c in ("part", "row"))  # longer than any other name
-    part = F.spark_partition_id()
-    counts, before, start = sorted(kept.groupBy(part.alias("part")).count().collect()), 0, None
-    for p, n in counts:
-        if before + n > first and before < first + limit:
-            start = (F if start is None else start).when(F.col(at) == p, F.lit(before))
-        before += n
-    # within a partition, the low 33 bits count its rows
-    numbered = kept.select("*", part.alias(at), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias(row))
-    place = start + F.col(row)
-    return numbered.where((place >= first) & (place < first + limit)).drop(at, row).orderBy(*order)
+    if first >= rows.count():
+        return rows.limit(0)
+    from .kept import SortedTable
+
+    return SortedTable.save(rows, order, f"{shared_dir(rows.sparkSession)}/page-{uuid.uuid4().hex}").slice(first, limit)
 
 
 def page_info(rows: DataFrame, number: int = 1, limit: int = 100) -> DataFrame:

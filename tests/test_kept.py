@@ -39,8 +39,8 @@ def test_a_page_opens_one_or_two_ranges(spark, tmp_path):
 def test_empty_sorted_table(spark, tmp_path):
     store = SortedTable.save(spark.range(0), ["id"], str(tmp_path))
     assert store.total == 0 and store.page(1).count() == 0
-    with pytest.raises(ValueError, match="own"):
-        SortedTable.save(spark.range(1).withColumn("_row", F.lit(1)), ["id"], str(tmp_path))
+    named = SortedTable.save(spark.range(9).withColumn("_row", -F.col("id")), ["_row"], str(tmp_path))
+    assert [tuple(r) for r in named.page(2, 4).collect()] == [(4, -4), (3, -3), (2, -2), (1, -1)]
 
 
 def test_details_without_an_exchange(spark, tmp_path):
