@@ -23,7 +23,7 @@ SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N
 SPACES = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000") | {chr(c) for c in range(0x2000, 0x200B)}
 
 #: Entries of a generation of each worker's caches, of which there are two; results do not depend on it.
-CACHE = 500_000
+CACHE = 250_000
 #: Remembered tests of pairs at most; one costs more than a whole word.
 PAIRS = 600_000
 #: A pair of ids is remembered as one number.
