@@ -102,6 +102,9 @@ def _close(keys: int, near: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray,
         size = [len(data) for _, data in runs]
         own, starts = own.reshape(sum(size), -1), np.cumsum([0, *size])
         i, j = (np.concatenate([SHORT_PAIRS[n][side] + at for n, at in zip(size, starts[:-1], strict=True)]) for side in (0, 1))
+        length = np.ascontiguousarray(own[:, :4]).view("<u4")[:, 0].astype(np.float64)
+        near = np.minimum(length[i], length[j]) >= np.maximum(length[i], length[j]) * ratio - 1e-6
+        i, j = i[near], j[near]
         may, labels = pairs(own[i], own[j]), Labels(len(own))
         labels.join(i[may], j[may])
         return labels, np.concatenate([x for x, _ in runs])
@@ -191,17 +194,17 @@ def shared_keys(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found.where("n > 1").select("key", "node", "kind", "n"), counted
 
 
-def candidate_groups(keyed: DataFrame, signatures: DataFrame, near: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], pairs: Callable[[np.ndarray, np.ndarray], np.ndarray] | None, ratio: float) -> DataFrame:
+def candidate_groups(keyed: DataFrame, signatures: DataFrame, near: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], pairs: Callable[[np.ndarray, np.ndarray], np.ndarray] | None, ratio: float, times: int = 1) -> DataFrame:
     """``keyed``: rows ``node long, kind int, keys array<long>``; ``signatures``: ``node, kind, data binary``, of equal
     length for equal kinds (one row each). Rows ``node, component`` of the items connected by pairs that share a key
     and may link by ``near``, which gives the indices of the pairs of two stacks of signatures that are not ruled out;
     ``pairs``, if given, tells the same row by row. A signature begins with the item's size in four bytes, and linked
     items' sizes have a quotient of ``ratio`` or more.
 
-    Keys of one item end at a count; only the others meet their signatures. Keys of more than ``BLOCK_ITEMS``
+    Keys of one item end at a count; only the others meet their signatures. Keys of more than ``times * BLOCK_ITEMS``
     items are compared block pair by block pair."""
     shared, keys = shared_keys(keyed.select(F.explode("keys").alias("key"), "node", "kind"))
-    shared = shared.withColumn("blocks", F.ceil(F.col("n") / BLOCK_ITEMS).cast("int")).drop("n")
+    shared = shared.withColumn("blocks", F.ceil(F.col("n") / (times * BLOCK_ITEMS)).cast("int")).drop("n")
     nodes = shared.select("node", "kind").distinct()
     signed = written(join_checked(signatures, nodes, ["node", "kind"]), "signatures")
     shared = join_checked(shared, signed, ["node", "kind"], data="data")

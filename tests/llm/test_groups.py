@@ -12,6 +12,7 @@ from lexispark.llm import line_dedup as L
 from lexispark.llm import linkage
 from lexispark.llm import ngram_join as N
 from lexispark.llm import topk_search as K
+from lexispark.llm.edits import within
 
 
 def near_texts(seed: int, groups: int = 12) -> list[str]:
@@ -174,6 +175,72 @@ def test_line_dedup_recall(spark):
     assert len(lines) - len(kept) >= 0.9 * (len(lines) - len(set(whole)))
 
 
+def test_line_candidates_at_the_edge():
+    """Lines with 9 to 10 % of their characters changed share a key and pass their signatures, in each class of length."""
+    draw = random.Random(12)
+    words = ["".join(draw.choices("aeioubdfgklmnprst", k=draw.randint(2, 9))) for _ in range(3000)]
+    for n in (15, 22, 30, 50, 64, 80, 120, 220, 400, 1200):
+        found = total = 0
+        while total < 400:
+            line = " ".join(draw.choices(words, k=n // 4))[:n].strip()
+            own = list(line)
+            for at in draw.sample(range(len(own)), int(len(own) * draw.uniform(9, 10) / 100)):
+                own[at] = draw.choice(["", "z" + own[at], "q"])
+            own = "".join(own)
+            if not L.similar(line, own):
+                continue
+            keys, signed = L.sketches([line.encode(), own.encode()])
+            signed = np.frombuffer(b"".join(signed), np.uint8).reshape(2, -1)
+            may = L.pairs_may_link(signed[:1], signed[1:])[0]
+            assert may == (len(L.may_link(signed[:1], signed[1:])[0]) > 0)
+            found, total = found + bool(may and set(keys[0]) & set(keys[1])), total + 1
+        assert found >= 0.9 * total, (n, found)
+
+
+def test_edits_of_many_pairs():
+    """The band of diagonals against the distance of each pair, with alphabets below and beyond its cells."""
+    draw = random.Random(5)
+    for alphabet in ("ab", "abcdefgh é", "".join(map(chr, range(0x4E00, 0x4E00 + 400)))):
+        lines = []
+        for n in (1, 3, 20, 64, 65, 130, 300, 600):
+            line = "".join(draw.choices(alphabet, k=n))
+            lines.append(line)
+            for _ in range(4):
+                own = list(line)
+                for _ in range(draw.randint(0, 1 + n // 8)):
+                    at = draw.randrange(len(own))
+                    own[at : at + 1] = draw.choice([[], [own[at], draw.choice(alphabet)], [draw.choice(alphabet)]]) or ([] if len(own) > 1 else own[:1])
+                lines.append("".join(own))
+        i, j = np.triu_indices(len(lines), 1)
+        size = np.array([len(x) for x in lines])
+        for part in (5, 10, 40):
+            most = np.minimum(np.maximum(size[i], size[j]) * part // 100, 63)
+            near, exact = within(lines, i, j, most)
+            plain = np.array([L.edits(lines[a], lines[b], int(m)) <= m for a, b, m in zip(i, j, most, strict=True)])
+            assert exact == (len(alphabet) <= 128)
+            assert (near == plain).all() if exact else (near | ~plain).all()
+
+
+def test_line_links_of_large_groups(monkeypatch):
+    """Groups of more lines than go without signatures, by bands and one by one, against all pairs."""
+    draw = random.Random(7)
+    words = [f"w{k}x" for k in range(400)]
+    base = [draw.choices(words, k=draw.choice([20, 40])) for _ in range(6)]
+    lines = set()
+    while len(lines) < 150:
+        own = list(draw.choice(base))
+        for _ in range(draw.randint(0, 6)):
+            own[draw.randrange(len(own))] = draw.choice(words)
+        lines.add(" ".join(own))
+    lines = sorted(lines)
+    near = [(i, j) for i, j in combinations(range(len(lines)), 2) if L.edits(lines[i], lines[j], most := max(len(lines[i]), len(lines[j])) // 10) <= most]
+    for many in (1, 1 << 30):
+        monkeypatch.setattr(L, "MANY", many)
+        found = list(L.line_links([x.encode() for x in lines]))
+        assert set(found) | {(j, i) for i, j in found} <= {*near, *((j, i) for i, j in near)}
+        assert classes(len(lines), found) == classes(len(lines), near)
+
+
 def test_line_dedup_odd_rows(spark):
     rows = [(2, "same line\nown"), (1, "Same line!"), (3, None), (4, ""), (5, "\n\n"), (2, "same line\nown"), (None, "own"), (6, "x" * 50_000 + "\nsame line")]
     docs = spark.createDataFrame([(a, b, "e", 1) for a, b in rows], "doc_id long, text string, __gone string, n_lines int")
