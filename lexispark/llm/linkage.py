@@ -194,7 +194,7 @@ def shared_keys(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found.where("n > 1").select("key", "node", "kind", "n"), counted
 
 
-def candidate_groups(keyed: DataFrame, signatures: DataFrame, near: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], pairs: Callable[[np.ndarray, np.ndarray], np.ndarray] | None, ratio: float, times: int = 1) -> DataFrame:
+def candidate_groups(keyed: DataFrame, signatures: DataFrame, near: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], pairs: Callable[[np.ndarray, np.ndarray], np.ndarray] | None, ratio: float, times: int = 1, spent: tuple[DataFrame, ...] = ()) -> DataFrame:
     """``keyed``: rows ``node long, kind int, keys array<long>``; ``signatures``: ``node, kind, data binary``, of equal
     length for equal kinds (one row each). Rows ``node, component`` of the items connected by pairs that share a key
     and may link by ``near``, which gives the indices of the pairs of two stacks of signatures that are not ruled out;
@@ -202,11 +202,13 @@ def candidate_groups(keyed: DataFrame, signatures: DataFrame, near: Callable[[np
     items' sizes have a quotient of ``ratio`` or more.
 
     Keys of one item end at a count; only the others meet their signatures. Keys of more than ``times * BLOCK_ITEMS``
-    items are compared block pair by block pair."""
+    items are compared block pair by block pair. ``spent``: tables of ``written`` behind the arguments, deleted once
+    neither is read any more, before signatures go to their keys."""
     shared, keys = shared_keys(keyed.select(F.explode("keys").alias("key"), "node", "kind"))
     shared = shared.withColumn("blocks", F.ceil(F.col("n") / (times * BLOCK_ITEMS)).cast("int")).drop("n")
     nodes = shared.select("node", "kind").distinct()
     signed = written(join_checked(signatures, nodes, ["node", "kind"]), "signatures")
+    discard(*spent)
     shared = join_checked(shared, signed, ["node", "kind"], data="data")
     small = shared.where("blocks = 1").select("key", "node", "data").repartition("key").sortWithinPartitions("key", "node")
     large = shared.where("blocks > 1").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
