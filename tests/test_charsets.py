@@ -29,3 +29,10 @@ def test_edges(spark):
     rows = [(0, None), (1, bytearray()), (2, bytearray(b"plain")), (3, bytearray("﻿é".encode())), (4, bytearray("aé\n".encode("utf-16-be"))), (5, bytearray(b"\x81\xff"))]
     got = {r.k: r.d and (r.d.charset, r.d.text) for r in spark.createDataFrame(rows, "k int, content binary").select("k", C.detected(F.col("content")).alias("d")).collect()}
     assert got[0] is None and got[1] == ("utf-8", "") and got[2] == ("utf-8", "plain") and got[3] == ("utf-8", "é") and got[4] == ("utf-16be", "aé\n") and got[5][0] in C.EIGHT_BIT
+
+
+@pytest.mark.parametrize(("text", "name"), [("Oi évian éelleoi.", "macintosh"), ("Erau verteein üieber schung, Und öenge.", "macintosh"), ("DE!! ÉQUEAUX!! ÉANPA!! É!! MENTÈ!! CHÈ!!", "iso-8859-1"), ("and of.\nÓ ñci de osqueas", "iso-8859-1"), ("les re paon. Èonoioi mentieran la.", "macintosh")])
+def test_close_readings(spark, text, name):
+    raw = bytearray(text.encode(C.EIGHT_BIT[name]))
+    got = spark.createDataFrame([(raw,)], "content binary").select(C.detected(F.col("content")).alias("d")).first().d
+    assert (got.charset, got.text) == (name, text)
