@@ -56,19 +56,19 @@ def _partial(store: TextStore, found: list) -> DataFrame:
     return hits.groupBy("id").agg(F.sum("part").alias("sum"), F.countDistinct("qi").alias("m"))
 
 
-def _in_full(store: TextStore, ids: DataFrame, found: list) -> DataFrame:
-    """``id, score`` of rows from their own terms; few ids are looked up as literals in the folders that hold them."""
+def _in_full(store: TextStore, ids: DataFrame, found: list) -> tuple[DataFrame, bool]:
+    """``id, score`` of rows from their own terms, looked up by id as literals in the folders that hold them; for many ids,
+    of all rows from the postings. And whether it is the latter."""
     some = [r.id for r in ids.limit(LITERALS + 1).collect()]
-    rows = store._parts("forward")
-    if len(some) <= LITERALS:
-        own = store.spark.createDataFrame([(i,) for i in some], f"id {store.content['kind']}")
-        wanted = [r.b for r in own.select(bucket("id").alias("b")).distinct().collect()]
-        rows = rows.where(F.col("bucket").isin(wanted) & F.col("id").isin(some))
-    else:
-        rows = rows.join(ids, "id", "left_semi")
+    if len(some) > LITERALS:  # what all of them hold would be read: the postings of the matched terms are less
+        hits = store._live(store._of(store._parts("postings"), "term", sorted({r.term for r in found}))).drop("bucket", "seq")
+        return store._scored(hits.join(_known(store, found), ["field", "term"])).groupBy("id").agg((F.sum("part") * F.countDistinct("qi")).alias("score")), True
+    own = store.spark.createDataFrame([(i,) for i in some], f"id {store.content['kind']}")
+    wanted = [r.b for r in own.select(bucket("id").alias("b")).distinct().collect()]
+    rows = store._parts("forward").where(F.col("bucket").isin(wanted) & F.col("id").isin(some))
     words = store._live(rows).select("id", "field", "len", F.explode("terms").alias("term")).join(_known(store, found).drop("df", "qi", "w").distinct(), ["field", "term"], "left_semi")
     counted = words.groupBy("id", "field", "term", "len").agg(F.count("*").alias("tf"))
-    return store._scored(counted.join(_known(store, found), ["field", "term"])).groupBy("id").agg((F.sum("part") * F.countDistinct("qi")).alias("score"))
+    return store._scored(counted.join(_known(store, found), ["field", "term"])).groupBy("id").agg((F.sum("part") * F.countDistinct("qi")).alias("score")), False
 
 
 def top(store: TextStore, base: DataFrame, primary: str, query: str, k: int = 20) -> Top:
@@ -83,7 +83,7 @@ def top(store: TextStore, base: DataFrame, primary: str, query: str, k: int = 20
     if not found:
         return Top(nothing, 0, 0)
     matched = sum({(r.field, r.term): r.df for r in found}.values())
-    whole = lambda ids: base.join(ids.withColumnsRenamed({"id": key, "score": "_score"}), key).withColumn("_priority", priority(F.col(primary), query))
+    whole = lambda ids: base.withColumn("_priority", priority(F.col(primary), query)).join(ids.withColumnsRenamed({"id": key, "score": "_score"}), key)
     if len(found) > LITERALS:  # a query that matches much of the vocabulary
         return Top(in_rank(whole(store.score(query)), key).limit(k), matched, matched)
 
@@ -112,4 +112,5 @@ def top(store: TextStore, base: DataFrame, primary: str, query: str, k: int = 20
         first = _partial(store, rarest).select("id")
         first = base.select(F.col(key).alias("id"), F.col(primary).alias("p")).join(first, "id", "left_semi").where(priority(F.col("p"), query) > 0).select("id")
         ids = ids.union(first).distinct()
-    return Top(in_rank(whole(_in_full(store, ids, found)), key).limit(k), sum(read.values()), matched)
+    scores, every = _in_full(store, ids, found)
+    return Top(in_rank(whole(scores), key).limit(k), matched if every else sum(read.values()), matched)
