@@ -72,3 +72,17 @@ def test_text_of_a_group_is_not_shuffled_for_each_member(spark, tmp_path):
     plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
     joins = [line for line in plan if "Join" in line]
     assert "_group" in joins[0]  # the last one
+
+
+def test_many_queries_in_blocks(spark, tmp_path, monkeypatch):
+    for name, size in (("ROW_BLOCK", 7), ("QUERY_BLOCK", 2), ("PRODUCT_ROWS", 3)):
+        monkeypatch.setattr(ST, name, size)
+    rows = spark.range(40).select("id", F.concat(F.lit("thing "), F.when(F.col("id") % 3 == 0, "rare ").otherwise(""), F.col("id") % 7).alias("v"))
+    store = TextStore.create(rows, "id", ["v"], str(tmp_path / "s"))
+    asked = {1: "thing rare", 2: "rare rare 3", 3: "", 4: "5", 5: "none such", 6: "thing"}
+    found = store.score_many(spark.createDataFrame(list(asked.items()), "qid long, text string"))
+    # each pair once, from blocks: nothing is grouped by query and row
+    assert "FlatMapCoGroups" in found._jdf.queryExecution().optimizedPlan().toString()
+    want = {(k, r.id, round(r.score, 6)) for k, q in asked.items() if q for r in store.score(q).collect()}
+    got = [(r.qid, r.id, round(r.score, 6)) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
