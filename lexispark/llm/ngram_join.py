@@ -200,7 +200,7 @@ def _groups(df: DataFrame, n: int, num: int, den: int, key: str, text: str) -> D
     own = join_checked(sets.withColumn("node", F.col("class")), heads, ["node"]).where(F.col("id").eqNullSafe(F.col("low")))
     own = own.select("node", "rows", F.explode("families").alias("f")).select("node", "rows", "f.*")
     own = own.where("rows = 1").drop("rows").union(own.where("rows > 1").drop("rows").dropDuplicates(["node", "kind"]))
-    candidates = candidate_groups(own.select("node", "kind", "keys"), own.select("node", "kind", "data"), may_overlap(num, den), None, num / den)
+    candidates = candidate_groups(own.select("node", "kind", "keys"), own.select("node", "kind", "data"), may_overlap(num, den), num / den)
 
     # one text of each candidate class, fetched by its smallest key and checked by its digest
     ids = classes.join(candidates, F.col("class") == F.col("node")).select("low", "class", "component")

@@ -197,6 +197,49 @@ def test_line_candidates_at_the_edge():
         assert found >= 0.9 * total, (n, found)
 
 
+def test_sketches_know_their_own_line():
+    """Equal lines have equal sketches, whatever lines are sketched with them."""
+    draw = random.Random(15)
+    lines = ["".join(draw.choices("abcdefgh ij", k=n)).encode() for n in (10, 12, 21, 22, 40, 64, 66, 70, 200, 900) * 4]
+    together = L.sketches(lines)
+    for k, line in enumerate(lines):
+        assert ([together[0][k]], [together[1][k]]) == L.sketches([line]), k
+
+
+@pytest.mark.parametrize("most", [4, 4096])
+def test_line_candidates_by_rounds(spark, monkeypatch, most):
+    """No round moves much more than its part of the keys; together they find what all pairs of equal keys give, with hot
+    keys cut by size and without."""
+    draw = random.Random(16)
+    words = ["".join(draw.choices("aeioubdfgklmnprst", k=draw.randint(2, 5))) for _ in range(60)]
+    lines = {" ".join(draw.choices(words, k=draw.choice([3, 12, 13, 14, 30]))) for _ in range(300)}
+    lines = sorted(lines | {x[:-2] + draw.choice(["q", "zz", ""]) for x in lines for _ in range(2)})
+    keys, signed = L.sketches([x.encode() for x in lines])
+    rows = [(k, len(lines[k]), keys[k], bytearray(signed[k])) for k in range(len(lines))]
+    keyed = spark.createDataFrame(rows, "node long, size int, keys array<long>, data binary")
+    moved, by_key = [], linkage._by_key
+
+    def counted(rows, large, *rest):
+        moved.append((rows.count(), large.select("node", "step").count() // 2 if large is not None else 0))
+        return by_key(rows, large, *rest)
+
+    monkeypatch.setattr(linkage, "_by_key", counted)
+    monkeypatch.setattr(linkage, "BLOCK_ITEMS", most)
+    found = {r.node: r.component for r in linkage.candidates_by_rounds(keyed, L.pairs_may_link, 0.9, 2, 4).collect()}
+    holders = {}
+    for k, own in enumerate(keys):
+        for key in own:
+            holders.setdefault(key, []).append(k)
+    own = np.frombuffer(b"".join(signed), np.uint8).reshape(len(lines), -1)
+    i, j = np.array(sorted({pair for x in holders.values() for pair in combinations(sorted(set(x)), 2)})).T
+    may = L.pairs_may_link(own[i], own[j])
+    whole = classes(len(lines), list(zip(i[may].tolist(), j[may].tolist(), strict=True)))
+    several = Counter(whole)
+    assert found == {k: c for k, c in enumerate(whole) if several[c] > 1}
+    assert len(moved) == 4 and any(x[1] for x in moved) == (most == 4)
+    assert sum(map(sum, moved)) == sum(map(len, keys)) and max(map(sum, moved)) < 0.4 * sum(map(len, keys))
+
+
 def test_edits_of_many_pairs():
     """The band of diagonals against the distance of each pair, with alphabets below and beyond its cells."""
     draw = random.Random(5)
