@@ -36,3 +36,26 @@ def test_close_readings(spark, text, name):
     raw = bytearray(text.encode(C.EIGHT_BIT[name]))
     got = spark.createDataFrame([(raw,)], "content binary").select(C.detected(F.col("content")).alias("d")).first().d
     assert (got.charset, got.text) == (name, text)
+
+
+CLOSE = [("t Et çeau çeau çea", "iso-8859-1"), ("Répaaux la éaux pas è les. éaux on éréle.\nUne éaux", "iso-8859-1"), ("! ENSTERÖ,!! EIN", "macintosh"), ("Thorea œahso.29", "macintosh"), ("Und äöach tz", "macintosh"), ("Éaionque", "macintosh"), ("ardo adoí llar.", "macintosh"), ("du. Ê Ê Ê Ê", "macintosh"), ("e se se ó ó ó ó de", "macintosh"), ("as de osíarga.", "macintosh"), ("œahso.29", "iso-8859-15"), ("Ö Ö Ö Ö", "macintosh"), ("l’eau d’hui dell’arte it’s “so” … —", "windows-1252")]
+
+
+def test_more_close_readings(spark):
+    rows = [(k, bytearray(t.encode(C.EIGHT_BIT[name]))) for k, (t, name) in enumerate(CLOSE)]
+    got = {r.k: (r.d.text, r.d.charset) for r in spark.createDataFrame(rows, "k int, content binary").select("k", C.detected(F.col("content")).alias("d")).collect()}
+    assert [got[k] for k in range(len(CLOSE))] == CLOSE
+
+
+def test_what_is_repeated_counts_once_and_runs_are_judged_alone():
+    texts = ["De De. " + "éoi " * 50 + "l'été", "été", "", "Ûñé"] * 3
+    raws = [t.encode("latin-1") for t in texts]
+    alone = [C._judged([r])[0] for r in raws if not r.isascii()]
+    assert C._judged([r for r in raws if not r.isascii()]) == alone and alone[0] == 0
+
+
+def test_written_and_read_again(spark):
+    rows = spark.createDataFrame([("œuf à 5 €",), ("",), (None,)], "t string")
+    for name in ("windows-1252", "iso-8859-15", "macintosh"):
+        raw = C.written_as(F.col("t"), name)
+        assert [(r.b and bytes(r.b).decode(C.EIGHT_BIT[name]), r.t) for r in rows.select(raw.alias("b"), C.read_as(raw, name).alias("t")).collect()] == [("œuf à 5 €", "œuf à 5 €"), (b"", ""), (None, None)]
