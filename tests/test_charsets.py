@@ -54,6 +54,12 @@ def test_what_is_repeated_counts_once_and_runs_are_judged_alone():
     assert C._judged([r for r in raws if not r.isascii()]) == alone and alone[0] == 0
 
 
+def test_bytes_are_judged_in_batches(spark):
+    rows = spark.createDataFrame([(bytearray(b"\xe9t\xe9"),)], "content binary")
+    plan = rows.select(C.detected(F.col("content")).alias("d"))._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "regexp" not in plan and "translate" not in plan
+
+
 def test_written_and_read_again(spark):
     rows = spark.createDataFrame([("œuf à 5 €",), ("",), (None,)], "t string")
     for name in ("windows-1252", "iso-8859-15", "macintosh"):
