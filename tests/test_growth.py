@@ -1,9 +1,13 @@
 """Work that was done twice, or for what a query does not ask for."""
 
 import os
+import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from lexispark.operators import matching as M
 from lexispark.operators import search as S
 from lexispark.operators import store as ST
 from lexispark.operators import toppages
@@ -86,3 +90,35 @@ def test_many_queries_in_blocks(spark, tmp_path, monkeypatch):
     want = {(k, r.id, round(r.score, 6)) for k, q in asked.items() if q for r in store.score(q).collect()}
     got = [(r.qid, r.id, round(r.score, 6)) for r in found.collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def _edits(a, b):
+    before = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        now = [i + 1]
+        for j, y in enumerate(b):
+            now.append(min(before[j] + (x != y), before[j + 1] + 1, now[j] + 1))
+        before = now
+    return before[-1]
+
+
+def test_candidates_end_before_they_are_rows(spark, monkeypatch):
+    monkeypatch.setattr(M, "PAIRS", 50)
+    draw = random.Random(3)
+    words = sorted({"".join(draw.choices("abcé", k=draw.randint(1, 12))) for _ in range(300)} | {"x" * 70, "x" * 69 + "y"})
+    i, j = (np.array([draw.randrange(len(words)) for _ in range(4000)]) for _ in range(2))
+    most = np.array([draw.randint(1, 4) for _ in range(4000)])
+    want = np.array([_edits(words[a], words[b]) <= m for a, b, m in zip(i, j, most, strict=True)])
+    letters, pairs = M.signatures(words)
+    assert not (want & ((np.bitwise_count(letters[i] ^ letters[j]) > 2 * most) | (np.bitwise_count(pairs[i] ^ pairs[j]) > 4 * most))).any()
+    short = np.array([len(words[b]) <= 64 for b in j])
+    assert (M.Words(words).near(i, j, most) == want)[short].all()
+    # rows of one key that hold a common segment, most of them far apart
+    rows = pa.table({"key": [7] * 8, "edits": pa.array([-1, -1, -1, -1, -1, -1, 1, 1], pa.int32()), "word": ["abcxyz", "abcuvw", "abcabc", "abcabd", "zzzabc", "abc", "abcabc", "abqabc"]})
+    got = {(q, t) for x in M._near(iter(rows.to_batches(max_chunksize=3))) for q, t in zip(x.column(0).to_pylist(), x.column(2).to_pylist(), strict=True)}
+    assert got == {("abcabc", "abcabc"), ("abcabc", "abcabd"), ("abqabc", "abcabc")}
+    scoring = S.Scoring()
+    asked, terms = spark.createDataFrame([(w,) for w in words[::5]], "q string"), spark.createDataFrame([(w,) for w in words], "term string")
+    found = {(r.q, r.term) for r in M.matches(asked, M.keyed_terms(terms, scoring), scoring).collect()}
+    bound = lambda q: min(6, int(0.2 * len(q) + 0.5))
+    assert found == {(q, t) for q in words[::5] for t in words if t.startswith(q) or _edits(t, q) <= bound(q)}
