@@ -442,3 +442,21 @@ def test_size_classes_have_no_end():
     small = N.Keys(90, 100)
     small.low, small.apart, small.parts, small.cells = small.low[:6], small.apart[:4], small.parts[:4], small.cells[:6]
     assert of(small, 100_000) == of(keys, 100_000)
+
+
+def test_rows_of_keys_that_are_not_hot_meet_no_join(spark, monkeypatch):
+    keyed = spark.createDataFrame([(k, 20 + k % 3, [1, 2 + k % 5], bytearray([20 + k % 3, 0, 0, 0] + [1] * 8)) for k in range(40)], "node long, size int, keys array<long>, data binary")
+    near = lambda a, b: np.ones(len(a), bool)
+    plans, by_key = [], linkage._by_key
+
+    def seen(rows, large, *rest):
+        plans.append((rows._jdf.queryExecution().optimizedPlan().toString(), large))
+        return by_key(rows, large, *rest)
+
+    monkeypatch.setattr(linkage, "_by_key", seen)
+    monkeypatch.setattr(linkage, "BLOCK_ITEMS", 4)
+    found = [{r.node: r.component for r in linkage.candidates_by_rounds(keyed, near, 0.9, 2, 3).collect()}]
+    assert len(plans) == 3 and all("Join" not in plan and large is not None for plan, large in plans)
+    monkeypatch.setattr(linkage, "HOT_LITERALS", 0)
+    found.append({r.node: r.component for r in linkage.candidates_by_rounds(keyed, near, 0.9, 2, 3).collect()})
+    assert found[0] == found[1] == dict.fromkeys(range(40), 0)
